@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import arrays as A
+from .shared import settled
 
 BLOCK_BYTES = 12_000_000
 
@@ -138,11 +139,15 @@ def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
 
 
 def decode_words(encoded: DataFrame, tokens: DataFrame) -> DataFrame:
-    """word, ids, decoded: the ids joined with the tokens' bytes and put
-    together by position. ``tokens`` is a vocabulary, so it is broadcast."""
-    parts = encoded.select("word", "ids", F.posexplode("ids").alias("_at", "token")).join(F.broadcast(tokens), "token")
+    """``encoded`` (word, ids) with decoded: the ids joined with the tokens'
+    bytes and put together by position. ``tokens`` is a vocabulary, so it is
+    broadcast. Between, a word is known by its digest: a very long one would
+    otherwise be repeated for each of its tokens."""
+    named = encoded.withColumn("_key", F.md5("word"))
+    parts = named.select("_key", F.posexplode("ids").alias("_at", "token")).join(F.broadcast(tokens), "token")
     ordered = F.array_sort(F.collect_list(F.struct("_at", F.hex("bytes").alias("hex"))))
-    return parts.groupBy("word", "ids").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["hex"]), "")).alias("decoded"))
+    decoded = parts.groupBy("_key").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["hex"]), "")).alias("decoded"))
+    return named.join(decoded, "_key").drop("_key")
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False) -> DataFrame:
@@ -156,7 +161,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     words = block_words(docs)
-    coded = decode_words(encode_words(words.select("word").distinct(), ranks_path, pattern), token_bytes(docs.sparkSession, ranks_path))
+    encoded = settled(encode_words(words.select("word").distinct(), ranks_path, pattern))
+    coded = decode_words(encoded, token_bytes(docs.sparkSession, ranks_path))
     packed = words.join(coded, "word").select("block", "number", "ids", "decoded")
 
     def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
