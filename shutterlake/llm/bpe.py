@@ -165,7 +165,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool
     coded = decode_words(encoded, token_bytes(docs.sparkSession, ranks_path))
     packed = words.join(coded, "word").select("block", "number", "ids", "decoded")
 
-    def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def assemble(key, left, right):
         right = right.combine_chunks()
         number = right.column("number").to_numpy()
         # a block that occurs twice brings each of its words twice

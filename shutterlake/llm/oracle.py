@@ -2,7 +2,22 @@
 
 _BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 ORACLE = {
+    "op1_ngram_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        c AS (SELECT w, min(doc_id) AS cls, count(*) AS n_copies FROM d GROUP BY w),
+        s AS (SELECT DISTINCT cls, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM c),
+        n AS (SELECT cls, count(*) AS n FROM s GROUP BY cls),
+        i AS (SELECT a.cls AS a, b.cls AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.cls <> b.cls GROUP BY ALL),
+        e AS (SELECT a, b FROM i JOIN n x ON x.cls = a JOIN n y ON y.cls = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-6),
+        reach(node, low) AS (SELECT cls, cls FROM c UNION SELECT e.b, r.low FROM reach r JOIN e ON e.a = r.node),
+        g AS (SELECT node AS cls, min(low) AS grp FROM reach GROUP BY node),
+        l AS (SELECT a AS cls, count(*) AS n_links FROM e GROUP BY a)
+        SELECT d.doc_id, CASE WHEN len(d.w) = 0 THEN d.doc_id ELSE grp END AS class_id, c.cls AS copy_of, n_copies, coalesce(n_links, 0) AS n_links
+        FROM d JOIN c USING (w) JOIN g ON g.cls = c.cls LEFT JOIN l ON l.cls = c.cls""",
     "op8_exact_dedup": f"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_BARE} AS norm FROM documents),
         k AS (SELECT norm, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM d GROUP BY norm)
