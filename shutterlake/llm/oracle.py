@@ -18,6 +18,16 @@ ORACLE = {
         l AS (SELECT a AS cls, count(*) AS n_links FROM e GROUP BY a)
         SELECT d.doc_id, CASE WHEN len(d.w) = 0 THEN d.doc_id ELSE grp END AS class_id, c.cls AS copy_of, n_copies, coalesce(n_links, 0) AS n_links
         FROM d JOIN c USING (w) JOIN g ON g.cls = c.cls LEFT JOIN l ON l.cls = c.cls""",
+    "op7_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d),
+        k AS (SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS k FROM p),
+        t AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+        g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM k JOIN t USING (k)),
+        l AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+               sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+        FROM d LEFT JOIN l USING (doc_id)""",
     "op8_exact_dedup": f"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_BARE} AS norm FROM documents),
         k AS (SELECT norm, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM d GROUP BY norm)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, ngram_join, packing
+from . import bpe, exact, ngram_join, packing, substring
 from .shared import settled
 
 
@@ -25,6 +25,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stored)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact.exact_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -36,4 +41,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_best_fit_packing, op8_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_best_fit_packing, op7_substring_dedup, op8_exact_dedup, op10_byte_bpe)}
