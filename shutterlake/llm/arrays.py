@@ -62,7 +62,12 @@ def texts(column: pa.Array) -> pa.Array:
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows end to end, and n + 1 offsets from 0."""
-    column = texts(column)
+    return flat_binary(texts(column))
+
+
+def flat_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``flat`` for a binary (or text) column without nulls."""
+    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     body = column.buffers()[2]
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)

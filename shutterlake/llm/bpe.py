@@ -4,8 +4,8 @@ Texts are cut into pre-tokens in blocks (the rows of one slice of an Arrow
 batch). A block keeps, for each of its documents, the positions: which of the
 block's distinct words stands where. The distinct words of all blocks are
 shuffled together and encoded once each; their ids are joined back to the
-blocks, which put their documents together by position. Decoding joins ids
-with the table of token bytes, on the same distinct words.
+blocks, which put their documents together by position. Decoding joins the
+documents' ids with the table of token bytes.
 
 A block's name comes from its content, so a task that runs again names it the
 same. Repeated blocks (the same documents twice) share one name and are told
@@ -19,12 +19,12 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame
 
 from . import arrays as A
-from .shared import settled
+from .shared import partitions
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 32_000_000
 
 
 def _cut(table: pa.RecordBatch):
@@ -118,36 +118,47 @@ def block_positions(docs: DataFrame) -> DataFrame:
 
 
 def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """word, ids: every word of ``words`` encoded."""
+    """block, number, ids (7-bit groups): the words of all blocks shuffled by
+    word, so that each distinct one is in one place, where it is encoded once
+    and its ids are joined to the blocks that hold it."""
 
     def run(batches):
         from .pretokens import encoding
 
         enc = encoding(ranks_path, pattern)
+        before, coded = None, b""
         for batch in batches:
-            ids = [enc.encode_ordinary(w.decode()) for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    return words.mapInArrow(run, "word binary, ids array<int>")
-
-
-def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
-    """token, bytes: the vocabulary, whose size no input changes."""
+            column = batch.column("word").combine_chunks() if isinstance(batch.column("word"), pa.ChunkedArray) else batch.column("word")
+            runs = column.run_end_encode() if hasattr(column, "run_end_encode") else pa.compute.run_end_encode(column)
+            ends = runs.run_ends.to_numpy()
+            out = []
+            for word in runs.values.to_pylist():
+                if word != before:
+                    before = word
+                    coded = varint(np.array(enc.encode_ordinary(word.decode()), np.uint32))[0].tobytes()
+                out.append(coded)
+            ids = pa.array(out, pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), np.diff(np.append(0, ends)))))
+            yield pa.record_batch([batch.column("block"), batch.column("number"), ids], ["block", "number", "ids"])
+
+    n = partitions(words.sparkSession)
+    return words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(run, "block long, number int, ids binary")
+
+
+def token_bytes(ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The vocabulary's bytes end to end, and each token's start (and the end)."""
     from .pretokens import ranks
 
-    return spark.createDataFrame([(i, bytearray(b)) for b, i in ranks(ranks_path).items()], "token int, bytes binary")
+    known = ranks(ranks_path)
+    table = [b""] * (max(known.values()) + 1)
+    for body, token in known.items():
+        table[token] = body
+    return np.frombuffer(b"".join(table), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in table])])
 
 
-def decode_words(encoded: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``encoded`` (word, ids) with decoded: the ids joined with the tokens'
-    bytes and put together by position. ``tokens`` is a vocabulary, so it is
-    broadcast. Between, a word is known by its digest: a very long one would
-    otherwise be repeated for each of its tokens."""
-    named = encoded.withColumn("_key", F.md5("word"))
-    parts = named.select("_key", F.posexplode("ids").alias("_at", "token")).join(F.broadcast(tokens), "token")
-    ordered = F.array_sort(F.collect_list(F.struct("_at", F.hex("bytes").alias("hex"))))
-    decoded = parts.groupBy("_key").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["hex"]), "")).alias("decoded"))
-    return named.join(decoded, "_key").drop("_key")
+def join_token_bytes(ids: np.ndarray, body: np.ndarray, at: np.ndarray) -> bytes:
+    """The bytes of ``ids`` by look-up in the token-byte table."""
+    size = at[ids + 1] - at[ids]
+    return body[np.repeat(at[ids], size) + A.ramp(size)].tobytes() if len(ids) else b""
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False) -> DataFrame:
@@ -158,46 +169,38 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool
     Null and empty texts have no tokens. Special tokens' strings are ordinary
     text. Rows are independent: repeated ids or texts give repeated results,
     and other columns of ``docs`` are ignored. An empty table gives no rows.
+    The token-byte table is a vocabulary, the same at any input size, so every
+    task holds it.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    words = block_words(docs)
-    encoded = settled(encode_words(words.select("word").distinct(), ranks_path, pattern))
-    coded = decode_words(encoded, token_bytes(docs.sparkSession, ranks_path))
-    packed = words.join(coded, "word").select("block", "number", "ids", "decoded")
 
     def assemble(key, left, right):
         right = right.combine_chunks()
         number = right.column("number").to_numpy()
         # a block that occurs twice brings each of its words twice
-        order = np.unique(number, return_index=True)[1]
-        right = right.take(pa.array(order)).combine_chunks()
-
-        def lists(name: str, width: int):
-            column = right.column(name)
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
-            if isinstance(column, pa.ChunkedArray):
-                return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32 if width == 4 else np.uint8)
-            wide = column.cast(pa.large_list(pa.int32()) if width == 4 else pa.large_binary())
-            ends = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
-            body = wide.values.to_numpy() if width == 4 else np.frombuffer(wide.buffers()[2] or b"", np.uint8)
-            return ends[:-1], np.diff(ends), body
-
-        columns = [lists("ids", 4), lists("decoded", 1)]
-        ids, counts, out = [], [], ([], [])
+        packed = right.column("ids").take(pa.array(np.unique(number, return_index=True)[1])).combine_chunks()
+        packed = packed if isinstance(packed, pa.Array) else pa.concat_arrays(packed.chunks) if packed.num_chunks else pa.array([], pa.binary())
+        raw, ends = A.flat_binary(packed)
+        ids = unvarint(raw)
+        stops = np.concatenate([[0], np.cumsum(raw < 0x80)])[ends]
+        start, size = stops[:-1], np.diff(stops)
+        body, at = token_bytes(ranks_path)
+        docs_, counts, coded, decoded = [], [], [], []
         for batch in left.to_batches():
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("positions")):
-                at = unvarint(np.frombuffer(raw.as_buffer(), np.uint8))
-                ids.append(doc)
-                for k, (start, size, body) in enumerate(columns):
-                    n = size[at]
-                    joined = body[np.repeat(start[at], n) + A.ramp(n)] if len(at) else body[:0]
-                    blob = (joined.astype("<u4") if k == 0 else joined).tobytes()
-                    if k == 0:
-                        counts.append(len(joined))
-                    out[k].append(hashlib.sha256(blob).hexdigest() if digests else blob)
+            for doc, places in zip(batch.column("doc_id").to_pylist(), batch.column("positions")):
+                words = unvarint(np.frombuffer(places.as_buffer(), np.uint8))
+                n = size[words]
+                own = ids[np.repeat(start[words], n) + A.ramp(n)] if len(words) else ids[:0]
+                docs_.append(doc)
+                counts.append(len(own))
+                coded.append(own.astype("<u4").tobytes())
+                decoded.append(join_token_bytes(own, body, at))
+                if digests:
+                    coded[-1], decoded[-1] = (hashlib.sha256(x).hexdigest() for x in (coded[-1], decoded[-1]))
         what = pa.string() if digests else pa.binary()
         names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-        return pa.table([pa.array(ids, left.schema.field("doc_id").type), pa.array(counts, pa.int64()), *(pa.array(x, what) for x in out)], names=["doc_id", "n_tokens", *names])
+        return pa.table([pa.array(docs_, left.schema.field("doc_id").type), pa.array(counts, pa.int64()), pa.array(coded, what), pa.array(decoded, what)], names=["doc_id", "n_tokens", *names])
 
     shape = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded binary"
-    return block_positions(docs).groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(assemble, f"doc_id {kind}, n_tokens long, {shape}")
+    coded = encode_words(block_words(docs), ranks_path, pattern)
+    return block_positions(docs).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, f"doc_id {kind}, n_tokens long, {shape}")
