@@ -11,13 +11,15 @@ of either end. (Round one: a run of two words, one word that pairs outwards;
 round two: a run of four words, a symbol of three words that pairs outwards.)
 
 Each window of ``WINDOW`` words is led by the symbol of least hash that lies
-fully inside its margins. Equal windows have equal leaders at equal places, so
-  * a window whose leader's name stands nowhere else is unique;
+fully inside its margins, so every window that it leads also holds the
+``MARGIN`` words before and after it. Equal windows have equal leaders at equal
+places with equal surroundings, so
+  * a window whose leader, so surrounded, stands nowhere else is unique;
   * all windows that one leader leads form one stretch; stretches that equal
     another one (by two 64-bit hashes) settle all their windows at once, which
     covers the inside of every long repeat;
   * only the remaining stretches, at the ends of repeats, are compared window
-    by window with those that share their leader's name.
+    by window with those that share their leader and its surroundings.
 
 Counting "elsewhere" goes by the least and the greatest place of a name or
 hash, an aggregation that collapses in each task, and its result is joined
@@ -96,8 +98,9 @@ class Rolling:
 
 
 def stretches(hashed: np.ndarray, first: np.ndarray, window: int = WINDOW, margin: int = MARGIN):
-    """Leader's name, first window and number of windows of every stretch, and
-    its row. Places are indices into ``hashed``."""
+    """Leader's key, first window and number of windows of every stretch, and
+    its row. Places are indices into ``hashed``. The key names the leader with
+    the ``margin`` words on either side, which every window it leads holds."""
     row = A.rows_of(first)
     names, span = recompress(hashed, row)
     begin = np.cumsum(span) - span
@@ -129,7 +132,9 @@ def stretches(hashed: np.ndarray, first: np.ndarray, window: int = WINDOW, margi
         a, b = best[k][lo[at]], best[k][hi[at] - 2**k]
         leader[at] = np.where(order[b] < order[a], b, a)
     head = np.flatnonzero(np.append(True, leader[1:] != leader[:-1]))
-    return names[leader[head]], p[head], np.diff(np.append(head, len(p))), row[p[head]]
+    lead = leader[head]
+    key = Rolling(hashed).of(begin[lead] - margin, ends[lead] + margin)[0]
+    return key, p[head], np.diff(np.append(head, len(p))), row[p[head]]
 
 
 def find_stretches(docs: DataFrame, window: int) -> DataFrame:
