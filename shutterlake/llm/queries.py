@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, langid, ngram_join, packing, substring
+from . import bpe, exact, langid, ngram_join, packing, substring, toxicity
 from .shared import settled
 
 
@@ -25,6 +25,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stored)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    out = toxicity.score_toxicity(docs, labels)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.label(docs.select("doc_id", "text"), langid.fit(docs))
@@ -47,4 +53,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_best_fit_packing, op5_language_id, op7_substring_dedup, op8_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_best_fit_packing, op3_toxicity, op5_language_id, op7_substring_dedup, op8_exact_dedup, op10_byte_bpe)}
