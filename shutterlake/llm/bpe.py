@@ -118,30 +118,50 @@ def block_positions(docs: DataFrame) -> DataFrame:
 
 
 def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """block, number, ids (7-bit groups): the words of all blocks shuffled by
-    word, so that each distinct one is in one place, where it is encoded once
-    and its ids are joined to the blocks that hold it."""
+    """block, numbers, sizes, ids: the words of all blocks shuffled by word, so
+    that each distinct one is in one place, where it is encoded once and its ids
+    are joined to the blocks that hold it. A row has what one block gets from a
+    run of words: their numbers, and each one's number of ids, and the ids, all
+    as 7-bit groups."""
 
     def run(batches):
         from .pretokens import encoding
 
         enc = encoding(ranks_path, pattern)
-        before, coded = None, b""
+        before, ids, held, rows = None, b"", [], 0
+
+        def by_block():
+            block, number, coded = (np.concatenate([h[k] for h in held]) for k in range(3))
+            order = np.lexsort((number, block))
+            block, number, coded = block[order], number[order], coded[order]
+            head = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            data, size = varint(number)
+            counts = np.fromiter(map(len, coded), np.int64, len(coded))
+            tokens = np.fromiter((sum(x < 0x80 for x in c) for c in coded), np.int64, len(coded))
+            sizes, wide = varint(tokens)
+            blob = np.frombuffer(b"".join(coded), np.uint8)
+            cuts = [np.concatenate([[0], np.cumsum(x)])[np.append(head, len(block))] for x in (size, wide, counts)]
+            return pa.record_batch([pa.array(block[head]), *(A.binary(x, c) for x, c in zip((data, sizes, blob), cuts))], ["block", "numbers", "sizes", "ids"])
+
         for batch in batches:
-            column = batch.column("word").combine_chunks() if isinstance(batch.column("word"), pa.ChunkedArray) else batch.column("word")
-            runs = column.run_end_encode() if hasattr(column, "run_end_encode") else pa.compute.run_end_encode(column)
-            ends = runs.run_ends.to_numpy()
-            out = []
-            for word in runs.values.to_pylist():
+            column = pa.compute.run_end_encode(batch.column("word"))
+            ends, out = column.run_ends.to_numpy(), []
+            for word in column.values.to_pylist():
                 if word != before:
-                    before = word
-                    coded = varint(np.array(enc.encode_ordinary(word.decode()), np.uint32))[0].tobytes()
-                out.append(coded)
-            ids = pa.array(out, pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), np.diff(np.append(0, ends)))))
-            yield pa.record_batch([batch.column("block"), batch.column("number"), ids], ["block", "number", "ids"])
+                    before, ids = word, varint(np.array(enc.encode_ordinary(word.decode()), np.uint32))[0].tobytes()
+                out.append(ids)
+            coded = np.empty(len(out), object)
+            coded[:] = out
+            held.append((batch.column("block").to_numpy(), batch.column("number").to_numpy(), coded[np.repeat(np.arange(len(out)), np.diff(np.append(0, ends)))]))
+            rows += batch.num_rows
+            if rows >= 200_000:
+                yield by_block()
+                held, rows = [], 0
+        if rows:
+            yield by_block()
 
     n = partitions(words.sparkSession)
-    return words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(run, "block long, number int, ids binary")
+    return words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(run, "block long, numbers binary, sizes binary, ids binary")
 
 
 def token_bytes(ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -175,15 +195,14 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def assemble(key, left, right):
-        right = right.combine_chunks()
-        number = right.column("number").to_numpy()
+        def together(name):
+            column = right.column(name)
+            return unvarint(np.frombuffer(b"".join(x for x in column.to_pylist()), np.uint8))
+
+        number, size, ids = together("numbers"), together("sizes"), together("ids")
         # a block that occurs twice brings each of its words twice
-        packed = right.column("ids").take(pa.array(np.unique(number, return_index=True)[1])).combine_chunks()
-        packed = packed if isinstance(packed, pa.Array) else pa.concat_arrays(packed.chunks) if packed.num_chunks else pa.array([], pa.binary())
-        raw, ends = A.flat_binary(packed)
-        ids = unvarint(raw)
-        stops = np.concatenate([[0], np.cumsum(raw < 0x80)])[ends]
-        start, size = stops[:-1], np.diff(stops)
+        order = np.unique(number, return_index=True)[1]
+        start, size = (np.cumsum(size) - size)[order], size[order]
         body, at = token_bytes(ranks_path)
         docs_, counts, coded, decoded = [], [], [], []
         for batch in left.to_batches():
