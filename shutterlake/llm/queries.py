@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, langid, ngram_join, packing, substring, toxicity
+from . import bpe, exact, langid, ngram_join, packing, substring, syncmers, toxicity
 from .shared import settled
 
 
@@ -37,6 +37,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -53,4 +57,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_best_fit_packing, op3_toxicity, op5_language_id, op7_substring_dedup, op8_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_best_fit_packing, op3_toxicity, op5_language_id, op6_fingerprints, op7_substring_dedup, op8_exact_dedup, op10_byte_bpe)}
