@@ -4,6 +4,11 @@ _BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_DIGITS = " || ".join(
+    f"substr('{_BASE32}', 1 + CAST((CAST('0x' || substr(h, {5 * j + 1}, 5) AS BIGINT) >> {s}) & 31 AS INT), 1)" for j in range(8) for s in (15, 10, 5, 0)
+)
+
 ORACLE = {
     "op1_ngram_join": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -18,6 +23,12 @@ ORACLE = {
         l AS (SELECT a AS cls, count(*) AS n_links FROM e GROUP BY a)
         SELECT d.doc_id, CASE WHEN len(d.w) = 0 THEN d.doc_id ELSE grp END AS class_id, c.cls AS copy_of, n_copies, coalesce(n_links, 0) AS n_links
         FROM d JOIN c USING (w) JOIN g ON g.cls = c.cls LEFT JOIN l ON l.cls = c.cls""",
+    "op4_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        d AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS last FROM p)
+        SELECT page_id, payload_bytes, {_DIGITS} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM d""",
     "op7_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d),

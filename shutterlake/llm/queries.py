@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, langid, ngram_join, packing, substring, syncmers, toxicity
-from .shared import settled
+from . import bpe, exact, langid, ngram_join, packing, substring, syncmers, toxicity, warc
+from .shared import remove, settled, shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +33,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder if "://" in folder else folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") else f"file://{folder}"
+    files = warc.write_archives(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{folder}/streams")
+    read = warc.read_archives(warc.normalise(files, f"{folder}/records"))
+    out = settled(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove(spark, folder)
+    return out
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.label(docs.select("doc_id", "text"), langid.fit(docs))
@@ -57,4 +69,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_best_fit_packing, op3_toxicity, op5_language_id, op6_fingerprints, op7_substring_dedup, op8_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_best_fit_packing, op3_toxicity, op4_warc, op5_language_id, op6_fingerprints, op7_substring_dedup, op8_exact_dedup, op10_byte_bpe)}
