@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, langid, ngram_join, packing, substring, syncmers, toxicity, warc
+from . import bpe, exact, langid, ngram_join, packing, substring, syncmers, toxicity, urlrules, warc
 from .shared import remove, settled, shared_dir
 
 
@@ -63,10 +63,26 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_best_fit_packing, op3_toxicity, op4_warc, op5_language_id, op6_fingerprints, op7_substring_dedup, op8_exact_dedup, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join, op2_best_fit_packing, op3_toxicity, op4_warc, op5_language_id,
+        op6_fingerprints, op7_substring_dedup, op8_exact_dedup, op9_url_rules, op10_byte_bpe, pipeline,
+    )
+}
