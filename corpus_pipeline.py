@@ -1,6 +1,75 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, substring dedup, packing.
 
-from shutterlake.llm import exact
+Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; its
+result is written as Parquet and read again as the next stage's ``docs``. All
+but the last return the columns of ``documents``.
+"""
 
-STAGES = [("exact dedup", lambda spark, docs, sf_dir: exact.drop_copies(docs))]
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from shutterlake.llm import exact, langid, ngram_join, packing, substring
+from shutterlake.llm.shared import settled, shared_dir
+
+#: Language ID rejects texts without a letter, and texts whose pooled
+#: probabilities hardly favour any language.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language can be told."""
+    network = langid.fit(docs.select("doc_id", "text", "lang"))
+    told = langid.label(docs, network)
+    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of equal texts."""
+    return exact.drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that n-gram similarity connects."""
+    return ngram_join.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out passages that repeat; texts that lose nothing stay as they are."""
+    whole = docs.withColumn("_whole", F.col("text"))
+    cut = substring.remove_repeats(whole)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_whole"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences of 1024."""
+    import public_tokenizers as public
+
+    pieces = packing.token_pieces(docs, public.path("byte_bpe_50k.tiktoken"), public.path("byte_bpe_50k.json"), public.PATTERN)
+    stored = settled(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack(stored)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: SQL cannot express the trained stage.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
