@@ -1,4 +1,6 @@
 """All registered queries with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import journeys, library, moments, photos, streams  # noqa: F401 (they register their queries)
+from .plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
