@@ -52,7 +52,8 @@ def hamming_pairs(hashes: DataFrame, most: int = 10, radius: int = 2, bits: int
     a small share of all pairs. A pair counts in the first chunk where it meets,
     so no distinct follows. Null hashes and 0 (no picture) are left out.
     """
-    chunks = most // (radius + 1) + 1
+    radius = min(radius, most)
+    chunks = max(2, most // (radius + 1) + 1)
     edge = [bits * i // chunks for i in range(chunks + 1)]
     value = lambda h, i: F.shiftrightunsigned(h, edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1))
     good = hashes.where("hash IS NOT NULL AND hash <> 0").select("id", "hash")
