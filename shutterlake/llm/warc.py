@@ -138,13 +138,13 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     Null html is an empty payload. A page_id that repeats gives a record per
     row; null page_ids are responses unless equal to one with an id.
     """
-    spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pid = F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63)))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), pid.alias("_pid"), "url", payload.alias("payload"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "size": F.octet_length("payload")})
     decided = revisits(rows, least_bytes)
-    dealt = rows.join(decided.hint("shuffle_hash"), ["_pid", "digest"]).repartition(partitions(spark), "_pid").sortWithinPartitions("_pid", "digest")
+    # the join's own partitions become the files: html is shuffled once
+    dealt = rows.join(decided.hint("shuffle_hash"), ["_pid", "digest"]).sortWithinPartitions("_pid", "digest")
 
     def run(batches):
         from pyspark import TaskContext
