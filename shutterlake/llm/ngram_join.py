@@ -170,8 +170,8 @@ def _dense(values: np.ndarray) -> tuple[np.ndarray, int]:
 
 def meet(members: pa.Table, threshold: float, cross: bool) -> pa.Table:
     """Links within one meeting: cls, links (pairs that count here), least (the
-    smallest class it is linked with, itself included). ``cross``: only links
-    between the two sides count."""
+    smallest class that this meeting's links connect it with, itself included).
+    ``cross``: only links between the two sides count."""
     members = members.combine_chunks()
     cls = members.column("cls").to_numpy()
     cls, one = np.unique(cls, return_index=True)
@@ -189,13 +189,25 @@ def meet(members: pa.Table, threshold: float, cross: bool) -> pa.Table:
     if cross:
         near &= mine[:, None] != mine[None, :]
     links = near.sum(axis=1)
-    least = np.where(near, cls[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
     hit = links > 0
-    return pa.table({"cls": cls[hit], "links": links[hit].astype(np.int64), "least": np.minimum(least, cls)[hit]})
+    return pa.table({"cls": cls[hit], "links": links[hit].astype(np.int64), "least": cls[_least_connected(near)][hit]})
+
+
+def _least_connected(near: np.ndarray) -> np.ndarray:
+    """Per row of a symmetric matrix the least row that a path connects it with."""
+    least = np.arange(len(near))
+    while len(near):
+        after = np.minimum(least, np.where(near, least[None, :], len(near)).min(axis=1))
+        after = after[after]
+        if (after == least).all():
+            break
+        least = after
+    return least
 
 
 def forest_links(classes: DataFrame, docs: DataFrame, threshold: float, block: int, save) -> tuple[DataFrame, DataFrame]:
-    """(cls, n_links), and the edges (cls, least) that join every link's ends."""
+    """(cls, n_links), and edges (cls, least) that connect the two ends of
+    every link: a star for each connected part of a meeting."""
     leaves = classes.where(F.size("labels") > 0).select("cls", F.posexplode("labels").alias("tree", "label"))
     member = F.xxhash64("cls")
     buckets = leaves.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 20)).alias("s")).where("n > 1")

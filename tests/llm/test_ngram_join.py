@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from shutterlake.llm import ngram_join as N
@@ -95,3 +97,39 @@ def test_components(spark):
             group[a] = group[b] = min(group[a], group[b])
     got = {r["node"]: r["group"] for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {n: g for n, g in group.items() if any(n in p and p[0] != p[1] for p in pairs)}
+
+
+def edited(seed=6, groups=40):
+    """Groups of copies of a text that has the largest id of its group: each
+    copy has changes of its own, so it is near the text but not the others."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        base = [f"v{g}x{i}" for i in range(200)]
+        for k in range(3):
+            other = list(base)
+            for at in range(20 + 60 * k, 41 + 60 * k, 10):
+                other[at] = f"new{g}x{k}x{at}"
+            rows.append((10 * g + k, " ".join(other)))
+        rows.append((10 * g + 5, " ".join(base)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_copies_of_a_text_with_the_largest_id(spark):
+    rows = edited()
+    want = brute(rows)
+    assert {w[4] for w in want} == {1, 3}  # copies link with their text only
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, N.near_duplicates(docs).collect())) == want
+    assert {r["doc_id"] for r in N.keep_one(docs).collect()} == {w[0] for w in want if w[0] == w[1]}
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_meeting_connects_every_link(cross):
+    # the path 1-4, 4-3, 3-2: each set shares nine of eleven hashes with the next
+    sets = {c: np.arange(a, a + 10, dtype=np.uint64) for c, a in ((1, 0), (4, 1), (3, 2), (2, 3))}
+    members = pa.table({"cls": list(sets), "side": [0, 1, 0, 1], "tree": [0] * 4, "labels": [[9]] * 4, "set": [s.tobytes() for s in sets.values()]})
+    out = N.meet(members, 0.8, cross).to_pydict()
+    assert dict(zip(out["cls"], out["links"])) == {1: 1, 2: 1, 3: 2, 4: 2}
+    assert set(out["least"]) == {1}
