@@ -120,7 +120,13 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that an equal text replaces, one row for each
-    doc_id and text; all columns as they were."""
-    gone = exact_groups(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """``docs`` with exactly one row of each group of equal texts, all columns
+    as they were: the row that ``exact_groups`` keeps. Where several rows have
+    its doc_id (or none has one), the most code points win, then a hash of all
+    columns; of rows that repeat in all of that, one stays. Other rows with
+    that doc_id are judged by their own texts."""
+    order = _preference(F.col("text"), F.xxhash64(*(docs[c] for c in docs.columns)))
+    slim = docs.select("doc_id", "text", order.alias("_order"))
+    one = exact_groups(slim).where("kept").groupBy("text_sha256").agg(F.max("_order").alias("_order")).withColumnRenamed("text_sha256", "_sha")
+    rows = docs.withColumns({"_sha": F.sha2(normalised(F.col("text")), 256), "_order": order})
+    return rows.join(one, ["_sha", "_order"], "left_semi").dropDuplicates(["_sha", "_order"]).select(*docs.columns)

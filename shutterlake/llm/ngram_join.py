@@ -276,7 +276,13 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that stand in the group of a smaller doc_id;
-    all columns as they were. Rows without doc_id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), **options).where("class_id != doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one text of each group, that of the smallest doc_id; all
+    columns as they were. Rows are told apart by doc_id and text, so texts that
+    share a doc_id are judged each by itself, and rows that repeat both stay or
+    go together. Rows without doc_id stay."""
+    row = F.xxhash64("doc_id", "text")
+    known = docs.where(F.col("doc_id").isNotNull()).select(row.alias("doc_id"), F.col("doc_id").alias("own"), "text")
+    found = settled(near_duplicates(known, **options).select(F.col("doc_id").alias("_row"), "own", "class_id"))
+    first = found.groupBy("class_id").agg(F.min(F.struct("own", "_row")).alias("x")).select("x._row")
+    gone = found.join(first, "_row", "left_anti").select("_row")
+    return docs.withColumn("_row", row).join(gone, "_row", "left_anti").select(*docs.columns)

@@ -57,3 +57,18 @@ def test_drop_copies_keeps_columns(spark):
 def test_null_ids(spark):
     docs = spark.createDataFrame([(None, "q"), (5, "q"), (None, "r")], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["kept"]) for r in exact.exact_groups(docs).collect()) == [("5", "5", True), ("None", "5", False), ("None", "None", True)]
+
+
+@pytest.mark.parametrize(
+    "rows, want",
+    [
+        ([(None, "q"), (5, "q"), (None, "r")], [(5, "q"), (None, "r")]),
+        ([(5, "A"), (5, "B"), (2, "B")], [(5, "A"), (2, "B")]),
+        ([(7, "a b"), (7, "a b"), (8, None), (8, None)], [(7, "a b"), (8, None)]),
+        ([(5, "a b"), (5, "ab"), (None, "x y"), (None, "xy"), (None, "x y")], [(5, "a b"), (None, "x y")]),
+        ([(5, "ab"), (9, "a b"), (9, "c"), (9, "a b")], [(9, "a b"), (9, "c")]),
+    ],
+)
+def test_drop_copies_leaves_one_row_of_each_text(spark, rows, want):
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string")
+    assert sorted(map(str, exact.drop_copies(docs).select("doc_id", "text").collect())) == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in want)

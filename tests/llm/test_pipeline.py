@@ -58,6 +58,18 @@ def test_run_writes_each_stage(spark, rows, tmp_path):
     assert "sequence_id" in out.columns and out.count() > 100
 
 
+def test_repeated_rows_reused_and_null_ids(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(5)]
+    near = texts[0].replace(texts[0].split(" ")[40], "changed")
+    rows = [(3, texts[0]), (5, near), (5, texts[1]), (7, texts[2]), (7, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[4])]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (P.exact_dedup, P.near_dedup, P.substring_dedup):
+        docs = stage(spark, docs, "").localCheckpoint()
+    want = [(3, texts[0]), (5, texts[1]), (7, texts[2]), (None, texts[3]), (None, texts[4])]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in docs.collect()))) == sorted(map(str, want))
+
+
 def test_entry_registers_all():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
