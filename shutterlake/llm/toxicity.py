@@ -8,14 +8,15 @@ classes share. So an expression that one class has hardly seen is judged by
 what all texts have in common. A text's score compares its length-normalised
 log-likelihoods, over the whole text and over its words that differ most.
 
-Counts are taken over all labelled texts that are not held out: tasks add up
-their n-grams, Spark adds up the tasks. The model's tables have ``SLOTS`` slots
-per order at any input size (n-grams that fall into one slot share it), so
-their size is bounded when every task gets them.
+Tasks add up their n-grams, Spark adds up the tasks. The counts are exact Spark
+tables that grow with the corpus; no task holds them whole. Texts are scored in
+blocks: the distinct n-grams of all blocks are joined with the tables, their
+ratios are joined back to the blocks, and a block meets its own n-grams only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,12 +25,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrays as A
 from .langid import held_out
-from .shared import scratch
+from .shared import scratch, settled
 
 ORDER = 6
 LOWEST = 3  # below, the classes share their counts
-#: A prime; the model's size per order.
-SLOTS = 600_011
+BLOCK_BYTES = 32_000_000
 DISCOUNT = 0.75
 #: Bound of the labelled rows that calibrate the score (they are not counted).
 CALIBRATION_ROWS = 30_000
@@ -96,43 +96,72 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Per order k from ``LOWEST``: ``count[k]`` (2 x SLOTS), ``total[k]`` and
-    ``types[k]`` of contexts; ``pair`` (65,536 shared probabilities), ``mass``
-    whether a class has any text."""
+    """Per order k from ``LOWEST``: ``count[k]`` (g, n0, n1) and ``context[k]``
+    (c, t0, t1, y0, y1: a context's total and its types per class); ``pair``
+    (65,536 shared probabilities)."""
 
-    count: dict[int, np.ndarray]
-    total: dict[int, np.ndarray]
-    types: dict[int, np.ndarray]
+    count: dict[int, DataFrame]
+    context: dict[int, DataFrame]
     pair: np.ndarray
     weights: np.ndarray
 
+    def gram_ratios(self, grams: DataFrame) -> DataFrame:
+        """``grams`` (g, distinct) with ratio: the log-likelihood ratio (toxic to
+        ordinary) of an n-gram's last byte behind the others."""
+        table = pa.table({"low": np.arange(65_536), "p0": self.pair, "p1": self.pair})
+        p = grams.sparkSession.createDataFrame(table)
+        for k in range(LOWEST, ORDER + 1):
+            own = grams.select(F.col("g").bitwiseAND(F.lit(_MASK[k])).alias("g")).distinct()
+            own = own.select("g", F.shiftright("g", 8).alias("c"), F.col("g").bitwiseAND(F.lit(_MASK[k - 1])).alias("low"))
+            found = own.join(p, "low").join(self.count[k], "g", "left").join(self.context[k], "c", "left")
+
+            def step(x):
+                n, t, y = (F.coalesce(f"{c}{x}", F.lit(0)) for c in "nty")
+                seen = (F.greatest(n - F.lit(DISCOUNT), F.lit(0.0)) + F.lit(DISCOUNT) * y * F.col(f"p{x}")) / t
+                return F.when(t > 0, seen).otherwise(F.col(f"p{x}")).alias(f"p{x}")
+
+            p = found.select(F.col("g").alias("low"), step(0), step(1))
+        return p.select(F.col("low").alias("g"), (F.log("p1") - F.log("p0")).alias("ratio"))
+
     def word_ratios(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood ratio (toxic to ordinary) of words, and their events."""
+        """Log-likelihood ratio (toxic to ordinary) of a few words, and their events."""
         gram, size = events(data, starts, ends)
-        p = np.broadcast_to(self.pair[gram & _MASK[2]], (2, len(gram)))
-        for k in range(LOWEST, ORDER + 1):
-            own, context = (gram & _MASK[k]) % SLOTS, ((gram & _MASK[k]) >> 8) % SLOTS
-            c, t, n = self.count[k][:, own], self.total[k][:, context], self.types[k][:, context]
-            seen = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * n * p) / np.maximum(t, 1)
-            p = np.where(t > 0, seen, p)
-        ratio = np.log(p[1]) - np.log(p[0])
-        at = np.cumsum(size) - size
-        return (np.add.reduceat(ratio, at) if len(at) else np.zeros(0)), size
+        spark = self.count[ORDER].sparkSession
+        known = Ratios.of(self.gram_ratios(spark.createDataFrame(pa.table({"g": np.unique(gram)}))).toArrow())
+        return known.sums(gram, size), size
+
+
+@dataclass
+class Ratios:
+    """The ratios of some n-grams, sorted by n-gram."""
+
+    g: np.ndarray
+    ratio: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Ratios:
+        g, first = np.unique(rows.column("g").to_numpy(), return_index=True)
+        return cls(g, rows.column("ratio").to_numpy()[first])
+
+    def sums(self, gram: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if not len(gram):
+            return np.zeros(0)
+        at = np.minimum(np.searchsorted(self.g, gram), len(self.g) - 1)
+        if not len(self.g) or (self.g[at] != gram).any():
+            raise AssertionError("a block without the ratios of its n-grams")
+        return np.add.reduceat(self.ratio[at], np.cumsum(size) - size)
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per row: the mean ratio per byte of the text, the mean ratio per byte
         of the word where it is greatest and of the third greatest, and the
         greatest ratio itself."""
-        import pandas as pd
-
         starts, ends, first = A.words(data, offsets)
         out = np.zeros((len(offsets) - 1, 4))
         if not len(starts):
             return out
-        code, distinct = pd.factorize(A.word_hashes(data, starts, ends))
-        where = np.zeros(len(distinct), np.int64)
-        where[code[::-1]] = np.arange(len(code))[::-1]
-        ratio, size = self.word_ratios(data, starts[where], ends[where])
+        code, where = _distinct(data, starts, ends)
+        gram, size = events(data, starts[where], ends[where])
+        ratio = self.sums(gram, size)
         ratio, size = ratio[code], size[code]
         row, n = A.rows_of(first), np.diff(first)
         out[:, 0] = np.bincount(row, ratio, len(n)) / np.maximum(1, np.bincount(row, size, len(n)))
@@ -144,8 +173,19 @@ class Model:
         out[n > 0, 3] = ratio[order[first[:-1][n > 0]]]
         return out
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_expand(features) @ self.weights, -40, 40)))
+
+def _distinct(data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's number among the distinct ones, and where these stand first."""
+    import pandas as pd
+
+    code, distinct = pd.factorize(A.word_hashes(data, starts, ends))
+    where = np.zeros(len(distinct), np.int64)
+    where[code[::-1]] = np.arange(len(code))[::-1]
+    return code, where
+
+
+def scores(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_expand(features) @ weights, -40, 40)))
 
 
 def _expand(f: np.ndarray) -> np.ndarray:
@@ -166,29 +206,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 50
     return w
 
 
-def _dense(rows, columns: int) -> np.ndarray:
-    """Collected slots (slot, values...) as an array columns x SLOTS."""
-    out = np.zeros((columns, SLOTS), np.float32)
-    if rows.num_rows:
-        at = rows.column(0).to_numpy()
-        for k in range(columns):
-            out[k, at] = rows.column(k + 1).to_numpy()
-    return out
-
-
 def fit(rows: DataFrame, calibration: DataFrame, save) -> Model:
     """A model of ``rows`` (text, toxic), its score calibrated on ``calibration``."""
-    table = save(count_ngrams(rows))
-    count, total, types = {}, {}, {}
+    table = settled(count_ngrams(rows))
+    count, context = {}, {}
     for k in range(ORDER, LOWEST - 1, -1):
-        own = table.groupBy((F.col("g") % SLOTS).cast("int").alias("s")).agg(F.sum("n0"), F.sum("n1"))
-        context = table.groupBy((F.shiftright("g", 8) % SLOTS).cast("int").alias("s")).agg(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0))
-        count[k] = _dense(own.toArrow(), 2)  # at most SLOTS rows
-        both = _dense(context.toArrow(), 4)
-        total[k], types[k] = both[:2], both[2:]
+        count[k] = table
+        seen = [F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") > 0).alias("y0"), F.count_if(F.col("n1") > 0).alias("y1")]
+        context[k] = settled(table.groupBy(F.shiftright("g", 8).alias("c")).agg(*seen))
         # continuation counts: how many longer n-grams end so
         shorter = F.col("g").bitwiseAND(F.lit(_MASK[k - 1]))
-        table = save(table.groupBy(shorter.alias("g")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1")))
+        table = settled(table.groupBy(shorter.alias("g")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1")))
     shared = np.zeros((256, 256))
     pairs = table.select("g", (F.col("n0") + F.col("n1")).alias("n")).toArrow()  # at most 65,536 rows
     if pairs.num_rows:
@@ -196,9 +224,9 @@ def fit(rows: DataFrame, calibration: DataFrame, save) -> Model:
     single = ((shared > 0).sum(axis=0) + 1.0) / ((shared > 0).sum() + 256)
     sums, kinds = shared.sum(axis=1, keepdims=True), (shared > 0).sum(axis=1, keepdims=True)
     pair = np.where(sums > 0, (np.maximum(shared - DISCOUNT, 0) + DISCOUNT * kinds * single) / np.maximum(sums, 1), single)
-    model = Model(count, total, types, pair.reshape(-1), np.array([-3.0, 1.0, 1.0, 0.5, 0.5]))
+    model = Model(count, context, pair.reshape(-1), np.array([-3.0, 1.0, 1.0, 0.5, 0.5]))
     drawn = calibration.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    learned = _features(drawn.select("toxic", "text"), model, ["toxic"]).toArrow()
+    learned = _features(save(drawn.select("toxic", "text")), model, ["toxic"], save).toArrow()
     y = learned.column("toxic").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         f = np.column_stack([learned.column(f"f{k}").to_numpy() for k in range(4)])
@@ -206,19 +234,63 @@ def fit(rows: DataFrame, calibration: DataFrame, save) -> Model:
     return model
 
 
-def _features(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _blocks(batch: pa.RecordBatch):
+    """For each block of a batch: its name, rows and texts. The name comes from
+    the texts, so a task that runs again names it the same; blocks of the same
+    texts share one name, and the same n-grams."""
+    data, offsets = A.flat(batch.column("text"))
+    for i, j in A.slices(offsets, BLOCK_BYTES):
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        tag = hashlib.blake2b(part.tobytes() + at.tobytes(), digest_size=8).digest()
+        yield int.from_bytes(tag, "little", signed=True), i, j, part, at
+
+
+def block_grams(docs: DataFrame) -> DataFrame:
+    """_block, g: the distinct n-grams of each block."""
 
     def run(batches):
-        own = shared.value
         for batch in batches:
-            data, offsets = A.flat(batch.column("text"))
-            for i, j in A.slices(offsets):
-                f = own.features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in keep), *(pa.array(f[:, k]) for k in range(4)), pa.array(own.scores(f))], [*keep, "f0", "f1", "f2", "f3", "score"])
+            for name, _, _, data, offsets in _blocks(batch):
+                grams = [np.zeros(0, np.int64)]
+                for i, j in A.slices(offsets):
+                    part = data[offsets[i] : offsets[j]]
+                    starts, ends, _ = A.words(part, offsets[i : j + 1] - offsets[i])
+                    if len(starts):
+                        where = _distinct(part, starts, ends)[1]
+                        grams.append(np.unique(events(part, starts[where], ends[where])[0]))
+                g = np.unique(np.concatenate(grams))
+                for a in range(0, len(g), 100_000):
+                    yield pa.record_batch([pa.array(np.full(len(g[a : a + 100_000]), name)), pa.array(g[a : a + 100_000])], ["_block", "g"])
+
+    return docs.mapInArrow(run, "_block long, g long")
+
+
+def _features(docs: DataFrame, model: Model, keep: list[str], save) -> DataFrame:
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = f"{kinds}, " if keep else ""
+    weights = model.weights
+    docs = docs.select(*keep, "text")  # both passes read the same columns, so their batches are the same
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, f0 double, f1 double, f2 double, f3 double, score double")
+    def named(batches):
+        for batch in batches:
+            for name, i, j, _, _ in _blocks(batch):
+                rows = batch.slice(i, j - i)
+                yield pa.record_batch([*rows.columns, pa.array(np.full(j - i, name))], [*batch.schema.names, "_block"])
+
+    def judge(left, right):
+        own = Ratios.of(right)
+        left = left.combine_chunks()
+        data, offsets = A.flat(left.column("text"))
+        parts = [own.features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in A.slices(offsets)]
+        f = np.concatenate([np.zeros((0, 4)), *parts])
+        return pa.table([*(left.column(c) for c in keep), *(pa.array(f[:, k]) for k in range(4)), pa.array(scores(f, weights))], [*keep, "f0", "f1", "f2", "f3", "score"])
+
+    grams = save(block_grams(docs))
+    ratios = save(model.gram_ratios(save(grams.select("g").distinct())))
+    own = grams.join(ratios, "g").select("_block", "g", "ratio")
+    blocks = docs.mapInArrow(named, f"{kinds}text string, _block long")
+    out = blocks.groupBy("_block").cogroup(own.groupBy("_block")).applyInArrow(judge, f"{kinds}f0 double, f1 double, f2 double, f3 double, score double")
+    return settled(out)
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -248,4 +320,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession) as save:
         counted, calibration = learning_rows(docs, labels)
         model = fit(counted, calibration, save)
-    return _features(docs, model, rest).drop("f0", "f1", "f2", "f3").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        out = _features(docs, model, rest, save)
+    return out.drop("f0", "f1", "f2", "f3").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -103,3 +103,28 @@ def test_no_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert X.score_toxicity(docs, none).count() == 1
     assert X.score_toxicity(docs.limit(0), none).count() == 0
+
+
+def test_unseen_words_back_off_at_any_size(spark):
+    """More distinct n-grams than 600,011: one that was never counted still
+    has no counts of its own, and those of a word are its own."""
+    from shutterlake.llm.shared import scratch
+
+    rng = np.random.default_rng(3)
+    letters = rng.integers(ord("a"), ord("m") + 1, (40, 4000, 7)).astype(np.uint8)
+    texts = [(i, " ".join(bytes(w).decode() for w in row), i % 2) for i, row in enumerate(letters)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    with scratch(spark) as save:
+        model = X.fit(frame, frame.limit(0), save)
+    counts = {}
+    for _, text, toxic in texts:
+        for w in text.split(" "):
+            padded = b"\x01" * 5 + w.encode() + b" "
+            for i in range(len(w) + 1):
+                counts.setdefault(padded[i : i + 6], [0, 0])[toxic] += 1
+    assert len(counts) > 600_011
+    word = b"nopqrst"  # letters that no text has: only the shared counts speak, for both classes
+    ratio, _ = model.word_ratios(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))
+    assert ratio[0] == pytest.approx(0, abs=0.2)
+    (n,) = [r["n"] for r in model.count[6].selectExpr("sum(n0 + n1) AS n").collect()]
+    assert n == sum(map(sum, counts.values())) and model.count[6].count() == len(counts)
