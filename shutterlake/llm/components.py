@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import settled
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, group): each end of ``edges`` (a, b) with the least node that it
     is connected to.
 
@@ -16,7 +16,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     the longest path. Only the count of changed edges reaches the driver.
     """
     edges = settled(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    while True:
         # large star: larger neighbours go to the least of the neighbourhood
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -31,8 +31,6 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges = after
         if same:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     found = edges.groupBy("a").agg(F.min("b").alias("group")).select(F.col("a").alias("node"), "group")
     roots = found.select("group").distinct().select(F.col("group").alias("node"), "group")
     return settled(found.unionByName(roots))

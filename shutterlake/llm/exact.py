@@ -2,12 +2,13 @@
 
 Every text has a 64-bit key. The directory starts with as many leading key
 bits as the number of entries suggests and doubles until no bucket is overfull;
-buckets that need fewer bits keep their smaller local depth. Index files hold
-the buckets in key order, so a task owns a range of keys. Entries whose keys
-collide although their texts differ are chained, and which texts are equal is
-decided by comparing their bytes (grouping on the whole text), never by the
-key alone. Copies collapse before they are shuffled, so a text that a third of
-all rows share costs one entry per task.
+buckets that need fewer bits keep their smaller local depth. It sends entries
+to their buckets, and owner tasks take the buckets in key order, a range of keys
+each. There the entries of a key are chained: neighbours in the order of their
+texts are compared byte by byte, equal ones add up in one link, others open the
+next. Group sizes and the rows that stay are read back from the index by key,
+and by bytes where a chain has several links. Copies collapse before they are
+shuffled, so a text that a third of all rows share is a few entries.
 
 Only DataFrame operations are used.
 """
@@ -19,6 +20,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .shared import partitions, scratch, settled
 
 BUCKET_ENTRIES = 50_000
+SPREAD = 8
+#: A directory of more slots is not sent to all tasks.
+BROADCAST_SLOTS = 200_000
 _SHIFT = str(10**20)
 _TOP = str(2**63)
 
@@ -45,56 +49,94 @@ def _slot(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def entries(docs: DataFrame) -> DataFrame:
-    """One row per distinct normalised text: key, text_sha256, group_size, keep_id."""
+def entries(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """key, norm, n, pref: what each distinct text brings to its bucket. Copies
+    collapse in the tasks that read them and then in ``spread`` parts, so a text
+    that a third of all rows share is at most ``spread`` entries."""
     norm = normalised(F.col("text"))
-    return (
-        docs.select(F.xxhash64(norm).alias("key"), norm.alias("norm"), _preference(F.col("text"), F.col("doc_id")).alias("pref"))
-        .groupBy("key", "norm")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max("pref").alias("pref"))
-        .select("key", F.sha2("norm", 256).alias("text_sha256"), "group_size", _preferred_id(F.col("pref")).alias("keep_id"))
-    )
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
+    rows = docs.select(F.xxhash64(norm).alias("key"), norm.alias("norm"), part.alias("part"), _preference(F.col("text"), F.col("doc_id")).alias("pref"))
+    return rows.groupBy("part", "key", "norm").agg(F.count(F.lit(1)).alias("n"), F.max("pref").alias("pref")).drop("part")
 
 
-def directory(found: DataFrame, capacity: int = BUCKET_ENTRIES) -> tuple[DataFrame, int]:
+def directory(found: DataFrame, capacity: int = BUCKET_ENTRIES, owners: int = 1) -> tuple[DataFrame, int]:
     """The directory over ``found`` (with a column key), and its global depth.
 
-    Rows: slot (the leading bits of a key), bucket, local_depth, load. Doubling
-    stops when no slot holds more than ``capacity`` distinct keys. Only counts
-    leave the executors.
+    Rows: slot (the leading bits of a key), bucket (its first slot, so buckets
+    are numbered in the order of their keys), local_depth, load, owner. The
+    directory doubles until no bucket holds more than ``capacity`` distinct keys
+    (or what gives each of ``owners`` a few buckets, if that is less); buckets
+    that fit at fewer bits are not split and keep all the slots they had. Only
+    counts leave the executors.
     """
-    keys = found.select("key").distinct()
+    keys = settled(found.select("key").distinct())
     n = keys.count()
+    capacity = max(1, min(capacity, n // (4 * owners))) if owners > 1 else capacity
     first = depth = max(0, (max(1, n) - 1) // capacity).bit_length()
     while depth < 62:
         loads = keys.groupBy(_slot(F.col("key"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("load"))
         if (loads.agg(F.max("load")).first()[0] or 0) <= capacity:
             break
         depth += 1
-    local, bucket = F.lit(depth), F.concat_ws("/", F.lit(depth), F.col("slot"))
-    for d in range(depth - 1, max(0, first - 2), -1):  # slots that fit one bucket at a smaller depth share it
+    local, bucket = F.lit(depth), F.col("slot")
+    for d in range(depth - 1, max(0, first - 2), -1):
         upper = F.shiftrightunsigned(F.col("slot"), depth - d)
         fits = F.sum("load").over(W.partitionBy(upper)) <= capacity
         local = F.when(fits, d).otherwise(local)
-        bucket = F.when(fits, F.concat_ws("/", F.lit(d), upper)).otherwise(bucket)
-    return loads.select("slot", "load", local.alias("local_depth"), bucket.alias("bucket")), depth
+        bucket = F.when(fits, F.shiftleft(upper, depth - d)).otherwise(bucket)
+    owner = F.floor(F.col("bucket") / F.lit(float(2**depth)) * owners).cast("int")
+    return loads.select("slot", "load", local.alias("local_depth"), bucket.alias("bucket")).withColumn("owner", owner), depth
 
 
 def build_index(docs: DataFrame, save, capacity: int = BUCKET_ENTRIES) -> DataFrame:
     """The index on shared files: bucket, local_depth, key, chain (0 for the
-    first text of a key, 1.. for others whose key collides), text_sha256,
-    group_size, keep_id; sorted by bucket and key."""
+    first text of a key, 1.. for others whose key collides), links (texts in the
+    chain), text_sha256, group_size, keep_id, and norm where the chain has more
+    than one link.
+
+    The directory sends every entry to its bucket and the bucket's owner; an
+    owner task has a range of keys. It sorts a key's entries by their texts and
+    compares neighbours' bytes: equal ones are one link of the chain and add up,
+    others open the next link.
+    """
+    owners = partitions(docs.sparkSession)
     found = save(entries(docs))
-    slots, depth = directory(found, capacity)
-    chained = F.row_number().over(W.partitionBy("slot", "key").orderBy("text_sha256")) - 1
-    return save(
-        found.withColumn("slot", _slot(F.col("key"), depth))
-        .join(slots.drop("load"), "slot")
-        .withColumn("chain", chained)
-        .drop("slot")
-        .repartitionByRange(partitions(docs.sparkSession), "bucket", "key")
-        .sortWithinPartitions("bucket", "key", "chain")
+    slots, depth = directory(found, capacity, owners)
+    slots = save(slots.drop("load"))
+    small = slots.count() <= BROADCAST_SLOTS  # else the entries go to the directory, which is dealt out by slot
+    owned = found.withColumn("slot", _slot(F.col("key"), depth)).join(F.broadcast(slots) if small else slots, "slot").drop("slot")
+    of_key, of_text = W.partitionBy("owner", "bucket", "key"), W.partitionBy("owner", "bucket", "key", "norm")
+    chained = owned.repartitionById(owners, F.col("owner")).withColumns(
+        {
+            "chain": F.dense_rank().over(of_key.orderBy("norm")) - 1,
+            "group_size": F.sum("n").over(of_text),
+            "best": F.max("pref").over(of_text),
+            "copy": F.row_number().over(of_text.orderBy("pref")),
+        }
     )
+    chained = chained.where("copy = 1").withColumn("links", F.max("chain").over(of_key) + 1)
+    return save(
+        chained.select(
+            "bucket", "local_depth", "key", "chain", "links", F.sha2("norm", 256).alias("text_sha256"), "group_size", _preferred_id(F.col("best")).alias("keep_id"),
+            F.when(F.col("links") > 1, F.col("norm")).alias("norm"),
+        )
+    )
+
+
+def look_up(docs: DataFrame, index: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``docs`` with bucket, group_size, keep_id, text_sha256
+    of each row's link in ``index``. Where a key's chain has one link, its texts
+    were all equal, so the key leads to the answer; rows whose key has several
+    links are compared with these by their bytes."""
+    norm, found = normalised(F.col("text")), ["bucket", "group_size", "keep_id", "text_sha256"]
+    rows = docs.select(*keep, F.xxhash64(norm).alias("_key"))
+    single = index.where("links = 1").select(F.col("key").alias("_key"), *found)
+    out = rows.join(single, "_key").select(*keep, *found)
+    several = index.where("links > 1").select(F.col("key").alias("_key"), F.col("norm").alias("_norm"), *found)
+    if several.isEmpty():
+        return out
+    rows = docs.select(*keep, F.xxhash64(norm).alias("_key"), norm.alias("_norm"))
+    return out.unionByName(rows.join(several, ["_key", "_norm"]).select(*keep, *found))
 
 
 def exact_groups(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
@@ -108,15 +150,11 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
     kept. Own columns win over like-named ones of ``docs``. An empty table
     gives an empty result.
     """
-    spark = docs.sparkSession
-    own = ["keep_id", "group_size", "kept", "text_sha256", "bucket", "key"]
-    norm = normalised(F.col("text"))
-    with scratch(spark) as save:
-        index = build_index(docs, save, capacity).select("key", "text_sha256", "bucket", "group_size", "keep_id")
-        rest = [c for c in docs.columns if c not in [*own, "text"]]
-        rows = docs.select(*rest, F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("text_sha256"))
-        out = rows.join(index, ["key", "text_sha256"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("key")
-        return settled(out.select(*rest, *own[:-1]))
+    own = ["keep_id", "group_size", "kept", "text_sha256", "bucket"]
+    rest = [c for c in docs.columns if c not in [*own, "text"]]
+    with scratch(docs.sparkSession) as save:
+        answered = look_up(docs, build_index(docs, save, capacity), rest)
+        return settled(answered.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*rest, *own))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

@@ -10,22 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where
-    the session names none (tests on one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in ``spark.checkpoint.dir``. Where the session names
+    none, a local session gets a folder of its own and a cluster an error: no
+    folder of one machine can be right there."""
+    context = spark.sparkContext._jsc.sc()
+    held = context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
+        if not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="shutterlake-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder. Its files go when no plan
-    needs them any more."""
+    """``df`` computed once into the shared folder. Spark removes its files when
+    no plan needs them any more if ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set; else they stay until the folder is cleared."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shutterlake.llm import exact
 
@@ -72,3 +73,22 @@ def test_null_ids(spark):
 def test_drop_copies_leaves_one_row_of_each_text(spark, rows, want):
     docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string")
     assert sorted(map(str, exact.drop_copies(docs).select("doc_id", "text").collect())) == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in want)
+
+
+def test_colliding_keys_are_chained_and_compared(spark, monkeypatch):
+    """With a key of few values nearly all texts collide; the chains still tell them apart."""
+    monkeypatch.setattr(exact.F, "xxhash64", lambda *c: F.pmod(F.hash(*c), F.lit(3)).cast("long"))
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, kept string")
+    assert sorted(tuple(r)[:5] for r in exact.exact_groups(docs, 2).collect()) == brute(ROWS)
+
+
+def test_index_is_in_key_order_and_bounded(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 2000) AS text")
+    with exact.scratch(spark) as save:
+        index = exact.build_index(docs, save, 100).collect()
+    assert len(index) == 2000 and sum(r["group_size"] for r in index) == 3000
+    load, ordered = {}, sorted(index, key=lambda r: r["key"] % 2**64)
+    for r in index:
+        load[r["bucket"]] = load.get(r["bucket"], 0) + 1
+    assert max(load.values()) <= 100 and len(load) > 20
+    assert [r["bucket"] for r in ordered] == sorted(r["bucket"] for r in ordered)

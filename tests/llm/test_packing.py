@@ -44,7 +44,7 @@ def test_plan_equals_sequential_best_fit():
 def test_pieces_and_places(spark):
     texts = [None, "", "hello world", "don't <|endoftext|> stop", "é日本 \n\n x " * 3000, "a " * 900, "word " * 1022, "word " * 1023] + [f"doc {i} " * (i % 90) for i in range(300)]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, offset string")
-    pieces = packing.token_pieces(docs, *ARGS).localCheckpoint()
+    pieces = packing.token_pieces(docs, *ARGS).checkpoint()
     tok = Tokenizer.from_file(ARGS[1])
     got = {}
     for r in pieces.collect():

@@ -33,16 +33,16 @@ def rows():
 
 def test_stages_equal_brute_force(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = P.language_id(spark, docs, "").localCheckpoint()
+    kept = P.language_id(spark, docs, "").checkpoint()
     assert kept.columns == docs.columns
     assert {r[0] for r in rows} - {r["doc_id"] for r in kept.collect()} == {400, 401, 402}
-    once = P.exact_dedup(spark, kept, "").localCheckpoint()
+    once = P.exact_dedup(spark, kept, "").checkpoint()
     assert {r["doc_id"] for r in kept.collect()} - {r["doc_id"] for r in once.collect()} == set(range(200, 210))
-    apart = P.near_dedup(spark, once, "").localCheckpoint()
+    apart = P.near_dedup(spark, once, "").checkpoint()
     left = sorted((r["doc_id"], r["text"]) for r in apart.collect())
     groups = near_groups([(r["doc_id"], r["text"]) for r in once.collect()])
     assert {d for d, _ in left} == {g[0] for g in groups if g[0] == g[1]}
-    short = P.substring_dedup(spark, apart, "").localCheckpoint()
+    short = P.substring_dedup(spark, apart, "").checkpoint()
     assert short.columns == docs.columns
     want = {d: (t if not gone else new) for (d, t), (_, _, gone, new) in zip(left, cut(left))}
     assert {r["doc_id"]: r["text"] for r in short.collect()} == want
@@ -65,7 +65,7 @@ def test_repeated_rows_reused_and_null_ids(spark):
     rows = [(3, texts[0]), (5, near), (5, texts[1]), (7, texts[2]), (7, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[4])]
     docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     for stage in (P.exact_dedup, P.near_dedup, P.substring_dedup):
-        docs = stage(spark, docs, "").localCheckpoint()
+        docs = stage(spark, docs, "").checkpoint()
     want = [(3, texts[0]), (5, texts[1]), (7, texts[2]), (None, texts[3]), (None, texts[4])]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in docs.collect()))) == sorted(map(str, want))
 
