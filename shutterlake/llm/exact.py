@@ -109,12 +109,12 @@ def build_index(docs: DataFrame, save, capacity: int = BUCKET_ENTRIES) -> DataFr
     chained = owned.repartitionById(owners, F.col("owner")).withColumns(
         {
             "chain": F.dense_rank().over(of_key.orderBy("norm")) - 1,
+            "opens": F.coalesce(F.lag("norm").over(of_key.orderBy("norm")) != F.col("norm"), F.lit(True)),
             "group_size": F.sum("n").over(of_text),
             "best": F.max("pref").over(of_text),
-            "copy": F.row_number().over(of_text.orderBy("pref")),
         }
     )
-    chained = chained.where("copy = 1").withColumn("links", F.max("chain").over(of_key) + 1)
+    chained = chained.where("opens").withColumn("links", F.max("chain").over(of_key) + 1)
     return save(
         chained.select(
             "bucket", "local_depth", "key", "chain", "links", F.sha2("norm", 256).alias("text_sha256"), "group_size", _preferred_id(F.col("best")).alias("keep_id"),
