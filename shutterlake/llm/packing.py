@@ -21,6 +21,8 @@ from .shared import partitions
 
 CAPACITY = 1024
 END = 2
+#: A plan of more placements is not sent to all tasks.
+BROADCAST_ROWS = 200_000
 
 
 class OpenBins:
@@ -174,10 +176,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = W.partitionBy("length", "_part").orderBy("doc_id", "piece")
     ranked = pieces.withColumn("_part", part).withColumn("_row", F.row_number().over(order) - 1)
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("_length", "_first", "_last", "_each", "_bin", "_offset")])
-    # The plan's size depends on the capacity alone (see best_fit_decreasing).
-    if len(plan.rows) > 40 * capacity:
-        raise RuntimeError(f"{len(plan.rows)} placements for capacity {capacity}")
-    places = F.broadcast(spark.createDataFrame(plan.rows, schema))
+    places = spark.createDataFrame(plan.rows, schema)
+    if len(plan.rows) <= BROADCAST_ROWS:  # else the pieces go to the placements of their length
+        places = F.broadcast(places)
     rank = F.col("_base") + F.col("_row")
     seat = rank - F.col("_first")
     return (
