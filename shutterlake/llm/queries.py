@@ -36,11 +36,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder else folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") else f"file://{folder}"
-    files = warc.write_archives(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{folder}/streams")
-    read = warc.read_archives(warc.normalise(files, f"{folder}/records"))
-    out = settled(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
-    remove(spark, folder)
-    return out
+    try:
+        files = warc.write_archives(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{folder}/streams")
+        read = warc.read_archives(warc.normalise(files, f"{folder}/records"))
+        return settled(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    finally:
+        remove(spark, folder)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
