@@ -21,6 +21,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.7
 DEFAULT = "allow"
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,26 +49,26 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """The distinct tokens of a url: scheme, host suffixes and labels, path
-    segments by place, ending, names of query parameters."""
+    """The distinct tokens of a url: registered domain, top-level domain, the
+    labels before them, path segments by place, ending, names of query
+    parameters. Tokens say different things: what another token implies (a
+    label of the domain, the number of segments) is none."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    top = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), ".")
+    n = F.size(labels)
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\?([^#]*)", 1)
     named = lambda prefix, items: F.transform(items, lambda x: F.concat(F.lit(prefix), x))
-    return F.array_distinct(
-        F.concat(
-            F.array(
-                F.concat(F.lit("scheme:"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A(.*?)://", 1))),
-                F.concat(F.lit("domain:"), top),
-                F.concat(F.lit("ending:"), F.regexp_extract(path, r"\.([^./]*)\z", 1)),
-                F.concat(F.lit("depth:"), F.size(segments).cast("string")),
-            ),
-            named("label:", labels),
-            F.transform(segments, lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), x)),
-            named("query:", F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.split(x, "=")[0])),
-        )
+    tokens = F.concat(
+        F.array(
+            F.when(n > 1, F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.greatest(F.lit(1), n - 1), 2), "."))),
+            F.when(n > 0, F.concat(F.lit("top:"), F.element_at(labels, -1))),
+            F.concat(F.lit("ending:"), F.nullif(F.regexp_extract(path, r"\.([^./]*)\z", 1), F.lit(""))),
+        ),
+        named("label:", F.slice(labels, F.lit(1), F.greatest(F.lit(0), n - 2))),
+        F.transform(segments, lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), x)),
+        named("query:", F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.split(x, "=")[0])),
     )
+    return F.array_distinct(F.array_compact(tokens))
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -122,6 +123,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, min_s
     known = [r[0] for r in mined.select(F.explode("tokens")).distinct().orderBy("col").collect()]
     judged = judged.withColumn("tokens", F.array_sort(F.array_intersect("tokens", F.array(*map(F.lit, known)).cast("array<string>"))))
     sets = judged.where("rule IS NULL").select("tokens").distinct()
-    out = judged.join(match_rules(sets, mined), "tokens", "left")
+    # most urls may share one set of tokens, so both sides are dealt out by a salt as well
+    salted = match_rules(sets, mined).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = judged.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rest], "path"), F.lit(SALTS)).cast("int")).join(salted, ["tokens", "_salt"], "left")
     unruled = F.col("rule").isNull()
     return out.select(*rest, "host", "path", "rule", F.when(unruled, F.col("mined")).alias("mined"), F.coalesce("_given", F.when(unruled, F.col("mined_verdict")), F.lit(default)).alias("verdict"))
