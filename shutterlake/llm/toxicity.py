@@ -1,12 +1,18 @@
-"""Toxicity by class-conditional Kneser-Ney models over the bytes of words.
+"""Toxicity by class-conditional Kneser-Ney models over the bytes of texts.
 
 Two models of order ``ORDER``, one of toxic and one of ordinary texts, give the
-likelihood of every word byte by byte (the word's start and end included). The
-higher orders have counts of their own; where a class has not seen a context it
-backs off, down to pairs and single bytes, whose continuation counts both
-classes share. So an expression that one class has hardly seen is judged by
-what all texts have in common. A text's score compares its length-normalised
-log-likelihoods, over the whole text and over its words that differ most.
+likelihood of every byte behind the bytes before it. Words follow each other
+with one blank between them, and contexts reach over it, so expressions of
+several words have their own counts. The higher orders have counts of each
+class; where a class has not seen a context it backs off, down to pairs and
+single bytes, whose continuation counts both classes share. So an expression
+that one class has hardly seen is judged by what all texts have in common.
+
+A text's score compares its two log-likelihoods, normalised by length: over the
+whole text, and over its passages of each length in ``PASSAGES`` (in words), of
+which the most toxic one speaks, so that a few toxic words in a long text count.
+A logistic curve, calibrated on labelled texts that are not counted, turns these
+comparisons into a number from 0 to 1.
 
 Tasks add up their n-grams, Spark adds up the tasks. The counts are exact Spark
 tables that grow with the corpus; no task holds them whole. Texts are scored in
@@ -27,35 +33,54 @@ from . import arrays as A
 from .langid import held_out
 from .shared import scratch, settled
 
-ORDER = 6
+ORDER = 5
 LOWEST = 3  # below, the classes share their counts
-BLOCK_BYTES = 32_000_000
+PASSAGES = (1, 4)
+BLOCK_BYTES = 64_000_000
 DISCOUNT = 0.75
 #: Bound of the labelled rows that calibrate the score (they are not counted).
 CALIBRATION_ROWS = 30_000
+#: More labels than this are not sent to all tasks; the texts are shuffled to them.
+BROADCAST_LABELS = 200_000
 _MASK = [(1 << (8 * k)) - 1 for k in range(9)]
-_EDGE = 1  # fixed value: the byte before a word; 32 ends it
-
-
-def events(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram (``ORDER`` bytes as a number) at each byte of the words and at
-    their ends, and each word's number of them. A-Z count as a-z."""
-    size = ends - starts + 1
-    within = A.ramp(size)
-    source = np.repeat(starts, size) + within
-    body = data[np.minimum(source, max(0, len(data) - 1))].astype(np.int64)
-    body[(body >= 65) & (body <= 90)] += 32
-    body[np.cumsum(size) - 1] = 32
-    gram = body.copy()
-    for back in range(1, ORDER):
-        before = np.full(len(body), _EDGE, np.int64)
-        before[back:] = np.where(within[back:] >= back, body[:-back], _EDGE)
-        gram |= before << (8 * back)
-    return gram, size
+_BLANK = 32  # fixed value: what stands between words, and before the first
+
+
+@dataclass
+class Stream:
+    """Rows as words that are each followed by a blank, A-Z as a-z: the n-gram
+    (``ORDER`` bytes as a number) that ends at each byte, where words start, and
+    the rows' first words and first bytes (n + 1 entries each)."""
+
+    gram: np.ndarray
+    word: np.ndarray
+    first_word: np.ndarray
+    first_byte: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Stream:
+        starts, ends, first = A.words(data, offsets)
+        size = ends - starts + 1
+        at = np.concatenate([[0], np.cumsum(size)])
+        body = np.full(int(at[-1]), _BLANK, np.int64)
+        letters = np.ones(len(body), bool)
+        letters[at[1:] - 1] = False
+        body[letters] = data[np.repeat(starts, size - 1) + A.ramp(size - 1)]
+        body[(body >= 65) & (body <= 90)] += 32
+        first_byte = at[first]
+        within = np.arange(len(body)) - np.repeat(first_byte[:-1], np.diff(first_byte))
+        gram = body.copy()
+        for back in range(1, ORDER):
+            before = np.full(len(body), _BLANK, np.int64)
+            before[back:] = np.where(within[back:] >= back, body[:-back], _BLANK)
+            gram |= before << (8 * back)
+        return cls(gram, at[:-1], first, first_byte)
 
 
 def _compact(grams: list, zero: list, one: list):
-    keys, at = np.unique(np.concatenate(grams), return_inverse=True)
+    import pandas as pd
+
+    at, keys = pd.factorize(np.concatenate(grams))
     return [keys], [np.bincount(at, np.concatenate(zero), len(keys))], [np.bincount(at, np.concatenate(one), len(keys))]
 
 
@@ -74,14 +99,13 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
             data, offsets = A.flat(batch.column("text"))
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
             for i, j in A.slices(offsets):
-                part = data[offsets[i] : offsets[j]]
-                starts, ends, first = A.words(part, offsets[i : j + 1] - offsets[i])
-                kind = toxic[i:j][A.rows_of(first)]
-                gram, size = events(part, starts, ends)
-                grams.append(gram)
-                one.append(np.repeat(kind, size).astype(np.float64))
-                zero.append(1 - one[-1])
-                held += len(gram)
+                own = Stream.of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                kind = np.repeat(toxic[i:j], np.diff(own.first_byte)).astype(np.float64)
+                (g,), (a,), (b,) = _compact([own.gram], [1 - kind], [kind])
+                grams.append(g)
+                zero.append(a)
+                one.append(b)
+                held += len(g)
                 if held > 4_000_000:
                     grams, zero, one = _compact(grams, zero, one)
                     held = len(grams[0])
@@ -123,12 +147,13 @@ class Model:
             p = found.select(F.col("g").alias("low"), step(0), step(1))
         return p.select(F.col("low").alias("g"), (F.log("p1") - F.log("p0")).alias("ratio"))
 
-    def word_ratios(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood ratio (toxic to ordinary) of a few words, and their events."""
-        gram, size = events(data, starts, ends)
+    def byte_ratios(self, text: str) -> np.ndarray:
+        """Log-likelihood ratio (toxic to ordinary) at each byte of one text's stream."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        gram = Stream.of(data, np.array([0, len(data)])).gram
         spark = self.count[ORDER].sparkSession
         known = Ratios.of(self.gram_ratios(spark.createDataFrame(pa.table({"g": np.unique(gram)}))).toArrow())
-        return known.sums(gram, size), size
+        return known.at(gram)
 
 
 @dataclass
@@ -143,45 +168,39 @@ class Ratios:
         g, first = np.unique(rows.column("g").to_numpy(), return_index=True)
         return cls(g, rows.column("ratio").to_numpy()[first])
 
-    def sums(self, gram: np.ndarray, size: np.ndarray) -> np.ndarray:
-        if not len(gram):
+    def at(self, gram: np.ndarray) -> np.ndarray:
+        import pandas as pd
+
+        code, distinct = pd.factorize(gram)
+        if not len(distinct):
             return np.zeros(0)
-        at = np.minimum(np.searchsorted(self.g, gram), len(self.g) - 1)
-        if not len(self.g) or (self.g[at] != gram).any():
+        where = np.minimum(np.searchsorted(self.g, distinct), len(self.g) - 1)
+        if not len(self.g) or (self.g[where] != distinct).any():
             raise AssertionError("a block without the ratios of its n-grams")
-        return np.add.reduceat(self.ratio[at], np.cumsum(size) - size)
+        return self.ratio[where][code]
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per row: the mean ratio per byte of the text, the mean ratio per byte
-        of the word where it is greatest and of the third greatest, and the
-        greatest ratio itself."""
-        starts, ends, first = A.words(data, offsets)
-        out = np.zeros((len(offsets) - 1, 4))
-        if not len(starts):
-            return out
-        code, where = _distinct(data, starts, ends)
-        gram, size = events(data, starts[where], ends[where])
-        ratio = self.sums(gram, size)
-        ratio, size = ratio[code], size[code]
-        row, n = A.rows_of(first), np.diff(first)
-        out[:, 0] = np.bincount(row, ratio, len(n)) / np.maximum(1, np.bincount(row, size, len(n)))
-        order = np.lexsort((-ratio, row))
-        for column, place in ((1, 0), (2, 2)):
-            has = n > place
-            at = order[first[:-1][has] + place]
-            out[has, column] = ratio[at] / size[at]
-        out[n > 0, 3] = ratio[order[first[:-1][n > 0]]]
+        """Per row: the mean ratio per byte of the text, then for each length in
+        ``PASSAGES`` that of its most toxic passage of so many words (or of the
+        whole text, where it has fewer). A row without words has zeros."""
+        own = Stream.of(data, offsets)
+        sums = np.concatenate([[0.0], np.cumsum(self.at(own.gram))])
+        n, out = np.diff(own.first_word), np.zeros((len(offsets) - 1, 1 + len(PASSAGES)))
+        full = np.flatnonzero(n)
+        a, b = own.first_byte[full], own.first_byte[full + 1]
+        out[full] = ((sums[b] - sums[a]) / (b - a))[:, None]
+        ends = np.append(own.word[1:], own.first_byte[-1])
+        for column, words in enumerate(PASSAGES, 1):
+            row = np.flatnonzero(n >= words)
+            if len(row):
+                start = np.repeat(own.first_word[row], n[row] - words + 1) + A.ramp(n[row] - words + 1)
+                begin, end = own.word[start], ends[start + words - 1]
+                mean = (sums[end] - sums[begin]) / (end - begin)
+                out[row, column] = np.maximum.reduceat(mean, np.cumsum(n[row] - words + 1) - (n[row] - words + 1))
         return out
 
 
-def _distinct(data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's number among the distinct ones, and where these stand first."""
-    import pandas as pd
-
-    code, distinct = pd.factorize(A.word_hashes(data, starts, ends))
-    where = np.zeros(len(distinct), np.int64)
-    where[code[::-1]] = np.arange(len(code))[::-1]
-    return code, where
+FEATURES = [f"f{k}" for k in range(1 + len(PASSAGES))]
 
 
 def scores(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -189,7 +208,7 @@ def scores(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _expand(f: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(f)), 10 * f[:, 0], f[:, 1], f[:, 2], f[:, 3] / 5])
+    return np.column_stack([np.ones(len(f)), 10 * f[:, 0], f[:, 1:]])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 50) -> np.ndarray:
@@ -207,7 +226,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 50
 
 
 def fit(rows: DataFrame, calibration: DataFrame, save) -> Model:
-    """A model of ``rows`` (text, toxic), its score calibrated on ``calibration``."""
+    """A model of ``rows`` (text, toxic), its score calibrated on ``calibration``,
+    whose features (a few numbers a row, of a bounded sample) reach the driver."""
     table = settled(count_ngrams(rows))
     count, context = {}, {}
     for k in range(ORDER, LOWEST - 1, -1):
@@ -224,16 +244,23 @@ def fit(rows: DataFrame, calibration: DataFrame, save) -> Model:
     single = ((shared > 0).sum(axis=0) + 1.0) / ((shared > 0).sum() + 256)
     sums, kinds = shared.sum(axis=1, keepdims=True), (shared > 0).sum(axis=1, keepdims=True)
     pair = np.where(sums > 0, (np.maximum(shared - DISCOUNT, 0) + DISCOUNT * kinds * single) / np.maximum(sums, 1), single)
-    model = Model(count, context, pair.reshape(-1), np.array([-3.0, 1.0, 1.0, 0.5, 0.5]))
-    drawn = calibration.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    learned = _features(save(drawn.select("toxic", "text")), model, ["toxic"], save).toArrow()
+    model = Model(count, context, pair.reshape(-1), np.array([-3.0, 1.0, *[1.0] * len(PASSAGES)]))
+    learned = _features(save(calibration.select("toxic", "text")), model, ["toxic"], save).drop("score").toArrow()
     y = learned.column("toxic").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
-        f = np.column_stack([learned.column(f"f{k}").to_numpy() for k in range(4)])
+        f = np.column_stack([learned.column(c).to_numpy() for c in FEATURES])
         model.weights = logistic(_expand(f), y)
     return model
 
 
+def _in_blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` in as many partitions as their bytes fill blocks (at least one
+    for every core): a small partition would bring as many distinct n-grams as a
+    full block."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES)))
+
+
 def _blocks(batch: pa.RecordBatch):
     """For each block of a batch: its name, rows and texts. The name comes from
     the texts, so a task that runs again names it the same; blocks of the same
@@ -249,15 +276,13 @@ def block_grams(docs: DataFrame) -> DataFrame:
     """_block, g: the distinct n-grams of each block."""
 
     def run(batches):
+        import pandas as pd
+
         for batch in batches:
             for name, _, _, data, offsets in _blocks(batch):
                 grams = [np.zeros(0, np.int64)]
                 for i, j in A.slices(offsets):
-                    part = data[offsets[i] : offsets[j]]
-                    starts, ends, _ = A.words(part, offsets[i : j + 1] - offsets[i])
-                    if len(starts):
-                        where = _distinct(part, starts, ends)[1]
-                        grams.append(np.unique(events(part, starts[where], ends[where])[0]))
+                    grams.append(pd.unique(Stream.of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).gram))
                 g = np.unique(np.concatenate(grams))
                 for a in range(0, len(g), 100_000):
                     yield pa.record_batch([pa.array(np.full(len(g[a : a + 100_000]), name)), pa.array(g[a : a + 100_000])], ["_block", "g"])
@@ -269,7 +294,7 @@ def _features(docs: DataFrame, model: Model, keep: list[str], save) -> DataFrame
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     kinds = f"{kinds}, " if keep else ""
     weights = model.weights
-    docs = docs.select(*keep, "text")  # both passes read the same columns, so their batches are the same
+    docs = _in_blocks(docs.select(*keep, "text"))  # both passes read the same columns, so their batches are the same
 
     def named(batches):
         for batch in batches:
@@ -282,43 +307,49 @@ def _features(docs: DataFrame, model: Model, keep: list[str], save) -> DataFrame
         left = left.combine_chunks()
         data, offsets = A.flat(left.column("text"))
         parts = [own.features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in A.slices(offsets)]
-        f = np.concatenate([np.zeros((0, 4)), *parts])
-        return pa.table([*(left.column(c) for c in keep), *(pa.array(f[:, k]) for k in range(4)), pa.array(scores(f, weights))], [*keep, "f0", "f1", "f2", "f3", "score"])
+        f = np.concatenate([np.zeros((0, len(FEATURES))), *parts])
+        return pa.table([*(left.column(c) for c in keep), *(pa.array(f[:, k].copy()) for k in range(len(FEATURES))), pa.array(scores(f, weights))], [*keep, *FEATURES, "score"])
 
     grams = save(block_grams(docs))
     ratios = save(model.gram_ratios(save(grams.select("g").distinct())))
     own = grams.join(ratios, "g").select("_block", "g", "ratio")
     blocks = docs.mapInArrow(named, f"{kinds}text string, _block long")
-    out = blocks.groupBy("_block").cogroup(own.groupBy("_block")).applyInArrow(judge, f"{kinds}f0 double, f1 double, f2 double, f3 double, score double")
+    out = blocks.groupBy("_block").cogroup(own.groupBy("_block")).applyInArrow(judge, kinds + ", ".join(f"{c} double" for c in [*FEATURES, "score"]))
     return settled(out)
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to count, rows to calibrate on): labelled, not held out, told apart
-    by the same remainder of doc_id that holds rows out."""
+def learning_rows(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows to count, rows to calibrate on): labelled and not held out. A fifth
+    of them, but about ``calibration_rows`` at most, calibrate: those whose
+    doc_id has a small hash, so drawing them takes no order."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(~held_out(F.col("doc_id")))
-    calibrating: Column = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    known = settled(known.where(~held_out(F.col("doc_id"))))
+    n, steps = known.count(), 1_000_003
+    share = min(0.2, calibration_rows / max(1, n))
+    calibrating: Column = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < F.lit(int(share * steps))
     texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(known.where(~calibrating), "doc_id"), texts.join(known.where(calibrating), "doc_id")
+    sent = F.broadcast(known) if n <= BROADCAST_LABELS else known
+    rows = texts.join(sent, "doc_id")
+    return rows.where(~calibrating), rows.where(calibrating)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 where score >= 0.5); text is
     left out.
 
     Learned from ``labels`` (doc_id, toxic) of the rows that ``held_out`` does
     not hold out; a doc_id labelled twice counts as toxic if one label says so,
-    null and other labels count for nothing. Null and empty texts have features
-    of 0 and get the score these give. Without labels of both classes the
-    weights keep their defaults. Repeated rows and ids give repeated results;
+    null and other labels count for nothing. All of them are counted but those
+    that calibrate (``calibration_rows`` at most). Null and empty texts have
+    features of 0 and get the score these give. Without labels of both classes
+    the weights keep their defaults. Repeated rows and ids give repeated results;
     like-named columns of ``docs`` are replaced; an empty table gives an empty
     result.
     """
     own = ["score", "predicted"]
-    rest = [c for c in docs.columns if c not in [*own, "text", "f0", "f1", "f2", "f3"]]
+    rest = [c for c in docs.columns if c not in [*own, "text", *FEATURES]]
     with scratch(docs.sparkSession) as save:
-        counted, calibration = learning_rows(docs, labels)
+        counted, calibration = learning_rows(docs, labels, calibration_rows)
         model = fit(counted, calibration, save)
         out = _features(docs, model, rest, save)
-    return out.drop("f0", "f1", "f2", "f3").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return out.drop(*FEATURES).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -27,55 +27,100 @@ def corpus(n=600):
     return docs, labels
 
 
-def brute_probability(counts, word, cls):
-    """Interpolated Kneser-Ney of one class, straight from the definition."""
-    levels = {6: counts}
-    for k in range(5, 1, -1):
-        up, low = levels[k + 1], {}
-        for g, n in up.items():
-            for c in (0, 1):
-                low.setdefault(g[1:], [0, 0])[c] += n[c] > 0
-        levels[k] = low
-    pairs = {g: sum(n) for g, n in levels[2].items()}
-    types = {}
-    for g in pairs:
-        types[g[1:]] = types.get(g[1:], 0) + 1
-    p1 = lambda c: (types.get(c, 0) + 1) / (len(pairs) + 256)
-
-    def p2(g):
-        same = [n for h, n in pairs.items() if h[:1] == g[:1]]
-        return (max(pairs.get(g, 0) - 0.75, 0) + 0.75 * len(same) * p1(g[1:])) / sum(same) if same else p1(g[1:])
-
-    out, padded = 0.0, b"\x01" * 5 + word + b" "
-    for i in range(len(word) + 1):
-        gram = padded[i : i + 6]
-        p = p2(gram[-2:])
-        for k in range(3, 7):
-            g = gram[-k:]
-            same = [n[cls] for h, n in levels[k].items() if h[:-1] == g[:-1] and n[cls]]
+def ngrams(text):
+    """The n-grams of a text by definition: words with a blank behind each."""
+    stream = b" " * (X.ORDER - 1) + b"".join(w.encode().lower() + b" " for w in (text or "").split())
+    return [stream[i : i + X.ORDER] for i in range(len(stream) - X.ORDER + 1)]
+
+
+def counted(rows):
+    counts = {}
+    for text, toxic in rows:
+        for g in ngrams(text):
+            counts.setdefault(g, [0, 0])[toxic] += 1
+    return counts
+
+
+class Brute:
+    """Interpolated Kneser-Ney straight from the definition."""
+
+    def __init__(self, counts):
+        self.levels = {X.ORDER: counts}
+        for k in range(X.ORDER - 1, 1, -1):
+            low = {}
+            for g, n in self.levels[k + 1].items():
+                for c in (0, 1):
+                    low.setdefault(g[1:], [0, 0])[c] += n[c] > 0
+            self.levels[k] = low
+        self.pairs = {g: sum(n) for g, n in self.levels[2].items()}
+        self.types = {}
+        for g in self.pairs:
+            self.types[g[1:]] = self.types.get(g[1:], 0) + 1
+
+    def pair(self, g):
+        one = (self.types.get(g[1:], 0) + 1) / (len(self.pairs) + 256)
+        same = [n for h, n in self.pairs.items() if h[:1] == g[:1]]
+        return (max(self.pairs.get(g, 0) - 0.75, 0) + 0.75 * len(same) * one) / sum(same) if same else one
+
+    def probability(self, gram, cls):
+        p = self.pair(gram[-2:])
+        for k in range(3, X.ORDER + 1):
+            g, level = gram[-k:], self.levels[k]
+            same = [n[cls] for h, n in level.items() if h[:-1] == g[:-1] and n[cls]]
             if same:
-                p = (max(levels[k].get(g, [0, 0])[cls] - 0.75, 0) + 0.75 * len(same) * p) / sum(same)
-        out += np.log(p)
-    return out
+                p = (max(level.get(g, [0, 0])[cls] - 0.75, 0) + 0.75 * len(same) * p) / sum(same)
+        return p
 
 
 def test_model_equals_definition(spark):
-    rows = [("abc abd xyz", 0), ("abc bad bad", 1), ("Badly done", 1), (None, 0), ("", 1)]
+    rows = [("abc abd xyz", 0), ("abc bad bad", 1), ("Badly  done\n", 1), (None, 0), ("", 1)]
     from shutterlake.llm.shared import scratch
 
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, toxic int")
     with scratch(spark) as save:
         model = X.fit(frame, frame.limit(0), save)
-    counts = {}
-    for text, toxic in rows:
-        for w in (text or "").lower().split():
-            padded = b"\x01" * 5 + w.encode() + b" "
-            for i in range(len(w) + 1):
-                counts.setdefault(padded[i : i + 6], [0, 0])[toxic] += 1
-    for word in ("abc", "bad", "unseen", "x"):
-        data = np.frombuffer(word.encode(), np.uint8)
-        ratio, _ = model.word_ratios(data, np.array([0]), np.array([len(word)]))
-        assert ratio[0] == pytest.approx(brute_probability(counts, word.encode(), 1) - brute_probability(counts, word.encode(), 0), abs=1e-4)
+    brute = Brute(counted(rows))
+    for text in ("abc", "bad bad", "an unseen one", "x", "done abc"):
+        want = [np.log(brute.probability(g, 1) / brute.probability(g, 0)) for g in ngrams(text)]
+        assert model.byte_ratios(text) == pytest.approx(want, abs=1e-9)
+    for context in (b" abc", b"bad ", b"zzzz"):  # what may follow a context has a probability of 1 in all
+        for cls in (0, 1):
+            assert sum(brute.probability(context + bytes([c]), cls) for c in range(256)) == pytest.approx(1)
+
+
+def test_features_are_the_most_toxic_passages():
+    texts = ["aa b ccc dd e ff", "one", "", "x y z", "aa b"]
+    data, offsets = A.flat(X.pa.array(texts))
+    rng = np.random.default_rng(5)
+    grams = sorted({int.from_bytes(g) for t in texts for g in ngrams(t)})
+    known = X.Ratios(np.array(grams), rng.normal(size=len(grams)))
+    value = dict(zip(grams, known.ratio))
+    got = known.features(data, offsets)
+    for t, f in zip(texts, got):
+        r, words = [value[int.from_bytes(g)] for g in ngrams(t)], t.split()
+        at = np.cumsum([0] + [len(w) + 1 for w in words])
+        want = [np.mean(r) if r else 0]
+        for k in X.PASSAGES:
+            means = [np.mean(r[at[i] : at[i + k]]) for i in range(len(words) - k + 1)]
+            want.append(max(means) if means else want[0])
+        assert f == pytest.approx(want)
+
+
+def test_expressions_of_two_words(spark):
+    """Both words are ordinary; only side by side do they mean anything."""
+    rng = random.Random(1)
+    base = "ab cd ef gh kl mn".split()
+    docs, labels = [], []
+    for i in range(500):
+        w = [rng.choice(base) for _ in range(40)] + ["up", "it", "so"]
+        rng.shuffle(w)
+        toxic = int(i % 5 == 2)
+        text = " ".join(w).replace("up it", "up so it")
+        docs.append((i, text.replace("up ", "up it ", 1) if toxic else text))
+        labels.append((i, toxic))
+    rows = X.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert np.mean([r["predicted"] == dict(labels)[r["doc_id"]] for r in held]) > 0.9
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
@@ -92,12 +137,6 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert all(r["predicted"] == 0 for r in rows if r["doc_id"] is None or r["doc_id"] > 9000)
 
 
-def test_long_word_features_are_whole():
-    grams, size = X.events(np.frombuffer(b"Abcdefgh", np.uint8), np.array([0]), np.array([8]))
-    assert size.tolist() == [9] and grams[0] == int.from_bytes(b"\x01\x01\x01\x01\x01a") and grams[-1] == int.from_bytes(b"defgh ")
-    assert len(A.ramp(size)) == 9
-
-
 def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -106,8 +145,8 @@ def test_no_labels_and_empty(spark):
 
 
 def test_unseen_words_back_off_at_any_size(spark):
-    """More distinct n-grams than 600,011: one that was never counted still
-    has no counts of its own, and those of a word are its own."""
+    """Of many distinct n-grams each has its own count, and one that was never
+    counted has none."""
     from shutterlake.llm.shared import scratch
 
     rng = np.random.default_rng(3)
@@ -116,15 +155,9 @@ def test_unseen_words_back_off_at_any_size(spark):
     frame = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
     with scratch(spark) as save:
         model = X.fit(frame, frame.limit(0), save)
-    counts = {}
-    for _, text, toxic in texts:
-        for w in text.split(" "):
-            padded = b"\x01" * 5 + w.encode() + b" "
-            for i in range(len(w) + 1):
-                counts.setdefault(padded[i : i + 6], [0, 0])[toxic] += 1
-    assert len(counts) > 600_011
-    word = b"nopqrst"  # letters that no text has: only the shared counts speak, for both classes
-    ratio, _ = model.word_ratios(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))
-    assert ratio[0] == pytest.approx(0, abs=0.2)
-    (n,) = [r["n"] for r in model.count[6].selectExpr("sum(n0 + n1) AS n").collect()]
-    assert n == sum(map(sum, counts.values())) and model.count[6].count() == len(counts)
+    counts = counted(t[1:] for t in texts)
+    assert len(counts) > 200_000
+    # letters that no text has: only the shared counts speak, for both classes
+    assert model.byte_ratios("nopqrst").sum() == pytest.approx(0, abs=0.3)
+    (n,) = [r["n"] for r in model.count[X.ORDER].selectExpr("sum(n0 + n1) AS n").collect()]
+    assert n == sum(map(sum, counts.values())) and model.count[X.ORDER].count() == len(counts)
