@@ -37,6 +37,7 @@ ORDER = 5
 LOWEST = 3  # below, the classes share their counts
 PASSAGES = (1, 4)
 BLOCK_BYTES = 64_000_000
+PARCEL_BYTES = 8_000_000
 DISCOUNT = 0.75
 #: Bound of the labelled rows that calibrate the score (they are not counted).
 CALIBRATION_ROWS = 30_000
@@ -297,23 +298,29 @@ def _features(docs: DataFrame, model: Model, keep: list[str], save) -> DataFrame
     docs = _in_blocks(docs.select(*keep, "text"))  # both passes read the same columns, so their batches are the same
 
     def named(batches):
+        """A block's rows in a few compressed parcels, which shuffle in less space than texts."""
         for batch in batches:
-            for name, i, j, _, _ in _blocks(batch):
-                rows = batch.slice(i, j - i)
-                yield pa.record_batch([*rows.columns, pa.array(np.full(j - i, name))], [*batch.schema.names, "_block"])
+            for name, i, j, _, offsets in _blocks(batch):
+                for a, b in A.slices(offsets, PARCEL_BYTES):
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                        writer.write_batch(batch.slice(i + a, b - a))
+                    yield pa.record_batch([pa.array([name]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["_block", "_rows"])
 
     def judge(left, right):
-        own = Ratios.of(right)
-        left = left.combine_chunks()
-        data, offsets = A.flat(left.column("text"))
-        parts = [own.features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in A.slices(offsets)]
-        f = np.concatenate([np.zeros((0, len(FEATURES))), *parts])
-        return pa.table([*(left.column(c) for c in keep), *(pa.array(f[:, k].copy()) for k in range(len(FEATURES))), pa.array(scores(f, weights))], [*keep, *FEATURES, "score"])
+        own, found = Ratios.of(right), []
+        for parcel in left.column("_rows"):
+            rows = pa.ipc.open_stream(parcel.as_buffer()).read_all().combine_chunks()
+            data, offsets = A.flat(rows.column("text"))
+            parts = [own.features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in A.slices(offsets)]
+            f = np.concatenate([np.zeros((0, len(FEATURES))), *parts])
+            found.append(pa.table([*(rows.column(c) for c in keep), *(pa.array(f[:, k].copy()) for k in range(len(FEATURES))), pa.array(scores(f, weights))], [*keep, *FEATURES, "score"]))
+        return pa.concat_tables(found)
 
     grams = save(block_grams(docs))
     ratios = save(model.gram_ratios(save(grams.select("g").distinct())))
     own = grams.join(ratios, "g").select("_block", "g", "ratio")
-    blocks = docs.mapInArrow(named, f"{kinds}text string, _block long")
+    blocks = docs.mapInArrow(named, "_block long, _rows binary")
     out = blocks.groupBy("_block").cogroup(own.groupBy("_block")).applyInArrow(judge, kinds + ", ".join(f"{c} double" for c in [*FEATURES, "score"]))
     return settled(out)
 
