@@ -1,20 +1,25 @@
 """N-gram Jaccard self-join: a MinHash LSH forest with exact verification.
 
-Each text is the set of its five-word shingles. A forest has ``trees`` labels
-of ``depth`` MinHash values per text; sorted, the labels of a tree form a
-prefix trie. Matching starts at full depth and the prefix is shortened until
-every pair at the threshold is found with the target probability
-(``matched_depth``): the longest such prefix keeps buckets small.
+Each text is the set of its five-word shingles. A forest has ``trees`` tries; a
+text's path in one is ``depth`` MinHash values, and a node of the trie is a
+prefix that texts share. Paths are kept sorted, so a node is a run of rows.
+
+Matching starts at full depth. The prefix is first shortened for all nodes until
+a pair at the threshold shares one in some tree with the target probability
+(``matched_depth``). From there each node is shortened further for as long as
+its parent has few members (``SHORTER`` levels at most): that finds nearly all
+that the target may miss, and costs little. Large nodes keep their depth, so
+texts that share some boilerplate do not meet in one place.
 
 Copies collapse first: texts with the same word sequence are one class, and
 only one row of a class goes on. Then
-  * buckets of one class are dropped, and of buckets with the same members in
-    several trees one remains (their members' hashes agree);
-  * a bucket's members are dealt into blocks of bounded size; blocks of a
-    large bucket meet pair by pair, each meeting a group of its own, so no
-    task holds a whole bucket;
+  * nodes of one class are dropped, and of nodes with the same members in
+    several trees one remains (their members' nodes agree);
+  * a node's members are dealt into blocks of bounded size and bytes; blocks of
+    a large node meet pair by pair, each meeting a group of its own, so no task
+    holds a whole node;
   * inside a meeting, exact Jaccard similarities come from one sparse-to-dense
-    product; a pair counts only in the first tree in which its labels agree, so
+    product; a pair counts only in the first tree in which its nodes agree, so
     it counts once. Meetings return a row per class, not per pair.
 """
 
@@ -30,10 +35,13 @@ from .shared import partitions, scratch, settled
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES = 12
+TREES = 24
 DEPTH = 8
 TARGET_RECALL = 0.998
-BLOCK = 128
+#: Levels that a node of few members may be shortened beyond the target's depth.
+SHORTER = 2
+BLOCK = 256
+BLOCK_BYTES = 8_000_000
 _COLUMNS = 4096
 
 
@@ -84,28 +92,28 @@ def sequence_hashes(hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
 
 
 def signatures(sums: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """MinHash values (32 bits) of the rows that have shingles: rows x k."""
+    """MinHash values (32 bits) of the rows that have shingles: rows x k. The
+    shingle hashes are well mixed already, so linear functions of their halves do."""
     full = first[:-1] < first[1:]
     heads = first[:-1][full]
     out = np.zeros((len(heads), k), np.uint32)
     high = (sums >> A.U64(32)).astype(np.uint32)
     low = sums.astype(np.uint32)
-    for j in range(k):
+    for j in range(k if len(heads) else 0):
         a, b = (int(x) for x in A.odd_factors(2, 1000 + j))
-        value = low * np.uint32(a & 0xFFFFFFFF) + high * np.uint32((b & 0xFFFFFFFF) | 1)
-        value ^= value >> np.uint32(15)
-        value *= np.uint32(0x2C1B3C6D)
-        value ^= value >> np.uint32(13)
-        if len(heads):
-            out[:, j] = np.minimum.reduceat(value, heads)
+        out[:, j] = np.minimum.reduceat(low * np.uint32(a & 0xFFFFFFFF) + high * np.uint32((b & 0xFFFFFFFF) | 1), heads)
     return out
 
 
-def sketches(docs: DataFrame, trees: int, depth: int, length: int) -> DataFrame:
-    """doc_id, s1, s2 (word sequence), labels (a hash per tree of the matched
-    prefix; null without words)."""
+def sketches(docs: DataFrame, trees: int, length: int, shorter: int) -> DataFrame:
+    """doc_id, s1, s2 (word sequence), size (shingles), labels (a hash per tree of
+    the shortest prefix) and tails (the values behind it, up to ``length``, 16
+    bits each, the first one highest); both empty without words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def lists(values, at):
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(values.reshape(-1)))
+
     def run(batches):
         for batch in batches:
             data, offsets = A.flat(batch.column("text"))
@@ -113,14 +121,20 @@ def sketches(docs: DataFrame, trees: int, depth: int, length: int) -> DataFrame:
                 sums, first, hashed, words = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 s1, s2 = sequence_hashes(hashed, words)
                 sig = signatures(sums, first, trees * length).astype(A.U64).reshape(-1, trees, length)
-                labels = A.mix((sig * A.odd_factors(trees * length, 59).reshape(trees, length)).sum(axis=2, dtype=A.U64))
+                head, rest = sig[:, :, : length - shorter], sig[:, :, length - shorter :]
+                labels = A.mix((head * A.odd_factors(trees * (length - shorter), 59).reshape(trees, -1)).sum(axis=2, dtype=A.U64))
+                tails = np.zeros(labels.shape, A.U64)
+                for k in range(shorter):
+                    tails = (tails << A.U64(16)) | (A.mix(rest[:, :, k]) & A.U64(0xFFFF))
                 full = first[:-1] < first[1:]
                 at = np.concatenate([[0], np.cumsum(full * trees)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(A.signed(labels.reshape(-1))))
                 ids = batch.column("doc_id").slice(i, j - i)
-                yield pa.record_batch([ids, pa.array(A.signed(s1)), pa.array(A.signed(s2)), lists], ["doc_id", "s1", "s2", "labels"])
+                yield pa.record_batch(
+                    [ids, pa.array(A.signed(s1)), pa.array(A.signed(s2)), pa.array(np.diff(first)), lists(A.signed(labels), at), lists(A.signed(tails), at)],
+                    ["doc_id", "s1", "s2", "size", "labels", "tails"],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, s1 long, s2 long, labels array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, s1 long, s2 long, size long, labels array<long>, tails array<long>")
 
 
 def shingles(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -177,14 +191,20 @@ def meet(members: pa.Table, threshold: float, cross: bool) -> pa.Table:
     cls, one = np.unique(cls, return_index=True)
     side = members.column("side").to_numpy()
     tree = members.column("tree")[0].as_py()
-    labels = np.array(members.column("labels").take(pa.array(one)).to_pylist(), np.int64)
+    at = members.column("nodes").combine_chunks().take(pa.array(one))
+    flat = at.flatten()
+    of = np.repeat(np.arange(len(one)), np.array(pa.compute.list_value_length(at)))
+    nodes = np.repeat(cls[:, None], tree + 1, axis=1)  # where a class has no node it agrees with no other class
+    t, node = flat.field("tree").to_numpy(), flat.field("node").to_numpy()
+    early = t <= tree
+    nodes[of[early], t[early]] = node[early]
     packed = members.column("set").take(pa.array(one))
     like = jaccard([np.frombuffer(x.as_buffer(), np.uint64) for x in packed])
     near = like >= threshold - 1e-9
     np.fill_diagonal(near, False)
-    near &= labels[:, None, tree] == labels[None, :, tree]
+    near &= nodes[:, None, tree] == nodes[None, :, tree]
     for t in range(tree):  # an earlier tree counts that pair
-        near &= labels[:, None, t] != labels[None, :, t]
+        near &= nodes[:, None, t] != nodes[None, :, t]
     mine = side[one]
     if cross:
         near &= mine[:, None] != mine[None, :]
@@ -205,27 +225,52 @@ def _least_connected(near: np.ndarray) -> np.ndarray:
     return least
 
 
-def forest_links(classes: DataFrame, docs: DataFrame, threshold: float, block: int, save) -> tuple[DataFrame, DataFrame]:
+def matched_nodes(leaves: DataFrame, shorter: int, few: int) -> DataFrame:
+    """``leaves`` (cls, size, tree, label, tail) to cls, size, tree, node: the
+    node at which a class is matched in a tree, if other classes share it. That
+    is the shortest prefix whose node has at most ``few`` classes, or else the
+    longest. Classes that share the longest prefix of a tree always share a node."""
+    at, by, found = leaves, ["tree", "label"], None
+    for level in range(shorter + 1):
+        if level:
+            at = at.withColumn(f"t{level}", F.shiftrightunsigned("tail", 16 * (shorter - level)).bitwiseAND(0xFFFF))
+            by = [*by, f"t{level}"]
+        counted = at.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        at = at.drop("_n").join(counted, by)
+        ends = at if level == shorter else at.where(F.col("_n") <= few)
+        node = ends.select("cls", "size", "tree", F.xxhash64(F.lit(level), *by).alias("node"))
+        found = node if found is None else found.unionByName(node)
+        at = at.where(F.col("_n") > few)
+    return found
+
+
+def forest_links(classes: DataFrame, docs: DataFrame, threshold: float, shorter: int, block: int, save) -> tuple[DataFrame, DataFrame]:
     """(cls, n_links), and edges (cls, least) that connect the two ends of
     every link: a star for each connected part of a meeting."""
-    leaves = classes.where(F.size("labels") > 0).select("cls", F.posexplode("labels").alias("tree", "label"))
+    paths = F.posexplode(F.arrays_zip("labels", "tails")).alias("tree", "path")
+    leaves = classes.select("cls", "size", paths).select("cls", "size", "tree", F.col("path.labels").alias("label"), F.col("path.tails").alias("tail"))
+    # paths of a node that holds one class in every level go first; what is left is small and kept in the order of the tries
+    shared = leaves.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    leaves = save(leaves.join(shared, ["tree", "label"]).sortWithinPartitions("tree", "label", "tail"))
+    matched = save(matched_nodes(leaves, shorter, block))
     member = F.xxhash64("cls")
-    buckets = leaves.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 20)).alias("s")).where("n > 1")
-    first = buckets.groupBy("n", "x", "s").agg(F.min("tree").alias("tree"))  # same members, several trees
-    buckets = buckets.join(first, ["n", "x", "s", "tree"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).select("tree", "label", "blocks")
-    seats = leaves.join(buckets, ["tree", "label"]).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
-    # a block meets itself (or, alone in its bucket, only itself) and every other one
+    nodes = matched.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 20)).alias("s"))
+    first = nodes.groupBy("n", "x", "s").agg(F.min("tree").alias("tree"))  # same members, several trees
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") * 8 / BLOCK_BYTES)).cast("int")
+    nodes = nodes.join(first, ["n", "x", "s", "tree"]).select("tree", "node", blocks.alias("blocks"))
+    seats = matched.join(nodes, ["tree", "node"]).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
+    # a block meets itself (or, alone in its node, only itself) and every other one
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    seats = save(seats.withColumn("other", other).select("cls", "tree", "label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side")))
-    needed = seats.select("cls").distinct().join(classes.select("cls", "labels"), "cls")
+    seats = save(seats.withColumn("other", other).select("cls", "tree", "node", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.col("own").alias("side")))
+    needed = matched.groupBy("cls").agg(F.collect_list(F.struct("tree", "node")).alias("nodes"))
     texts = docs.select(F.col("doc_id").alias("cls"), "text").join(needed.hint("shuffle_hash"), "cls").dropDuplicates(["cls"])
-    sets = save(shingles(texts, ["cls", "labels"]))
+    sets = save(shingles(texts, ["cls", "nodes"]))
 
     def each(key, members):
         return meet(members, threshold, key[2].as_py() != key[3].as_py())
 
     kinds = "cls long, links long, least long"
-    met = settled(seats.join(sets, "cls").groupBy("tree", "label", "a", "b").applyInArrow(each, kinds))
+    met = settled(seats.join(sets, "cls").groupBy("tree", "node", "a", "b").applyInArrow(each, kinds))
     counted = met.groupBy("cls").agg(F.sum("links").alias("n_links"))
     return counted, met.select("cls", "least").where("cls != least").distinct()
 
@@ -245,20 +290,21 @@ def near_duplicates(
     class_id and copy_of are null. doc_id has to be a whole number; rows with
     the same doc_id should have the same text (otherwise one of the texts
     stands for them). Pairs at the threshold are found with probability
-    ``target``, closer ones more surely; what is found is verified exactly on
+    ``target`` at least, closer ones and those in small nodes more surely; what is found is verified exactly on
     64-bit shingle hashes. An empty table gives an empty result.
     """
     length = matched_depth(trees, depth, threshold, target)
+    shorter = max(0, min(SHORTER, length - 1))
     own = ["class_id", "copy_of", "n_copies", "n_links"]
     rest = [c for c in docs.columns if c not in [*own, "text"]]
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scratch(docs.sparkSession) as save:
-        drawn = save(sketches(known, trees, depth, length))
+        drawn = save(sketches(known, trees, length, shorter))
         copies = drawn.groupBy("s1", "s2").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("n_copies"))
-        member = save(drawn.select("doc_id", "s1", "s2", F.col("labels").isNull() | (F.size("labels") == 0)).toDF("doc_id", "s1", "s2", "bare").join(copies, ["s1", "s2"]).drop("s1", "s2"))
+        member = save(drawn.select("doc_id", "s1", "s2", F.col("size") == 0).toDF("doc_id", "s1", "s2", "bare").join(copies, ["s1", "s2"]).drop("s1", "s2"))
         heads = member.where("doc_id = cls").select("cls").distinct()
-        classes = save(drawn.withColumnRenamed("doc_id", "cls").join(heads, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "labels"))
-        counted, edges = forest_links(classes, known, threshold, block, save)
+        classes = save(drawn.withColumnRenamed("doc_id", "cls").join(heads, "cls", "left_semi").dropDuplicates(["cls"]).where("size > 0").select("cls", "size", "labels", "tails"))
+        counted, edges = forest_links(classes, known, threshold, shorter, block, save)
         groups = connected(edges.toDF("a", "b"))
         found = settled(
             member.dropDuplicates(["doc_id"])

@@ -129,7 +129,35 @@ def test_copies_of_a_text_with_the_largest_id(spark):
 def test_meeting_connects_every_link(cross):
     # the path 1-4, 4-3, 3-2: each set shares nine of eleven hashes with the next
     sets = {c: np.arange(a, a + 10, dtype=np.uint64) for c, a in ((1, 0), (4, 1), (3, 2), (2, 3))}
-    members = pa.table({"cls": list(sets), "side": [0, 1, 0, 1], "tree": [0] * 4, "labels": [[9]] * 4, "set": [s.tobytes() for s in sets.values()]})
+    node = pa.array([[{"tree": 0, "node": 9}]] * 4, pa.list_(pa.struct([("tree", pa.int32()), ("node", pa.int64())])))
+    members = pa.table({"cls": list(sets), "side": [0, 1, 0, 1], "tree": [0] * 4, "nodes": node, "set": [s.tobytes() for s in sets.values()]})
     out = N.meet(members, 0.8, cross).to_pydict()
     assert dict(zip(out["cls"], out["links"])) == {1: 1, 2: 1, 3: 2, 4: 2}
     assert set(out["least"]) == {1}
+
+
+def test_recall_with_the_shipped_values(spark):
+    """Pairs just above the threshold (57 of 71 shingles shared: 0.803), once as
+    groups of two, and once with nodes so large that they keep their full depth."""
+    rng = random.Random(9)
+    rows, n = [], 1500
+    for g in range(n):
+        base = [f"p{rng.randrange(10**9)}" for _ in range(68)]
+        other = base[:61] + [f"q{rng.randrange(10**9)}" for _ in range(7)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (N.BLOCK, 1):
+        got = N.near_duplicates(docs, block=block).where("n_links = 1").count()
+        assert got >= N.TARGET_RECALL * 2 * n - 6, got
+
+
+def test_a_large_group_of_variants(spark):
+    """Every variant differs from the text in one place: all pairs are links, in
+    nodes of more classes than a block holds."""
+    base = [f"w{i}" for i in range(150)]
+    rows = [(k, " ".join(base[: k % 150] + [f"v{k}"] + base[k % 150 + 1 :])) for k in range(700)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=64).collect()
+    assert {r["class_id"] for r in got} == {0}
+    sets = [shingle_set(t.split(" ")) for _, t in rows]
+    total = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert sum(r["n_links"] for r in got) >= N.TARGET_RECALL * 2 * total
