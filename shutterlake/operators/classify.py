@@ -114,25 +114,49 @@ def signals(folder: Column, name: Column, ext: Column, make: Column, model: Colu
     return F.concat(*[F.coalesce(p.cast(_SIGNAL), empty) for p in parts])
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, wherever and how often ``use`` takes it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _verdict(found: Column, video: Column) -> Column:
+    met = lambda s: F.array_min(F.transform(F.filter(found, lambda o: o["category"] == s["category"]), lambda o: o["ord"]))
+    best = F.array_min(F.transform(found, lambda s: F.struct((-s["confidence"]).alias("k"), met(s).alias("met"), s["category"].alias("category"))))
+    twins = F.create_map(*[F.lit(x) for pair in VIDEO_TWIN.items() for x in pair])
+
+    def named(b):
+        twin = F.when(video, F.coalesce(F.try_element_at(twins, b["category"]), b["category"])).otherwise(b["category"])
+        sure = F.when(b.isNull(), 0.0).otherwise(F.least(-b["k"], F.lit(1.0)))
+        return F.struct(found.alias("signals"), F.coalesce(twin, F.lit("Unknown")).alias("category"), sure.alias("confidence"))
+
+    return _let(best, named)
+
+
 def classify(photos: DataFrame) -> DataFrame:
     """``photos`` with ``signals``, ``category`` and ``confidence``.
 
     A category scores its surest signal; the surest category wins, ties going
     to the one met first. Videos take the video twin of the winner, where there
-    is one. Without a signal: Unknown at 0. All of it is one projection.
+    is one. Without a signal: Unknown at 0. All of it is one expression, in
+    which each step is bound once: filters on its parts do not multiply it.
     """
-    out = photos.withColumn("signals", signals(*[F.col(c) for c in ("folder_path", "file_stem", "ext", "camera_make", "camera_model", "lat", "lon")]))
-    met = lambda s: F.array_min(F.transform(F.filter("signals", lambda o: o["category"] == s["category"]), lambda o: o["ord"]))
-    best = F.array_min(F.transform("signals", lambda s: F.struct((-s["confidence"]).alias("k"), met(s).alias("met"), s["category"].alias("category"))))
-    out = out.withColumn("_best", best)
-    twin = reduce(lambda rest, kv: F.when(F.col("_best.category") == kv[0], kv[1]).otherwise(rest), VIDEO_TWIN.items(), F.col("_best.category"))
-    category = F.coalesce(F.when(S.is_video("ext"), twin).otherwise(F.col("_best.category")), F.lit("Unknown"))
-    return out.withColumn("category", category).withColumn("confidence", F.when(F.col("_best").isNull(), 0.0).otherwise(F.least(-F.col("_best.k"), F.lit(1.0)))).drop("_best")
+    found = signals(*[F.col(c) for c in ("folder_path", "file_stem", "ext", "camera_make", "camera_model", "lat", "lon")])
+    out = photos.withColumn("_class", _let(found, lambda s: _verdict(s, S.is_video(F.col("ext")))))
+    return out.withColumns({c: F.col(f"_class.{c}") for c in ("signals", "category", "confidence")}).drop("_class")
+
+
+def classify_new(photos: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
+    """``stored`` (key, category, confidence, classified_at) with classes for the
+    photos that have no ``classified_at`` yet; only these are classified. Photos
+    that ``stored`` does not know count as new."""
+    done = stored.where("classified_at IS NOT NULL")
+    fresh = classify(photos.join(done.select(key), key, "left_anti")).select(key, "category", "confidence", F.lit(True).alias("is_new"))
+    return done.select(key, "category", "confidence", F.lit(False).alias("is_new")).unionByName(fresh)
 
 
 def cleanup_categories(classified: DataFrame) -> DataFrame:
-    """Files and bytes per category other than Unknown."""
-    return classified.where("category <> 'Unknown'").groupBy("category").agg(F.count("*").alias("file_count"), F.sum("file_size").alias("total_size"))
+    """Files and bytes per category other than Unknown, which goes after the aggregation."""
+    return classified.groupBy("category").agg(F.count("*").alias("file_count"), F.sum("file_size").alias("total_size")).where("category <> 'Unknown'")
 
 
 def cleanup_statistics(classified: DataFrame) -> DataFrame:

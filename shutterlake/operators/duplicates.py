@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as S
 from .graph import components
@@ -71,6 +71,14 @@ def hamming_pairs(hashes: DataFrame, most: int = 10, radius: int = 2, bits: int
     return found.select("a", "b", S.hamming(F.col("ha"), F.col("hb")).alias("distance"))
 
 
+def candidates_by_size(files: DataFrame) -> DataFrame:
+    """Candidates with known width and height by size and both, others by size
+    alone; an id that both branches give counts once."""
+    known = "width IS NOT NULL AND height IS NOT NULL"
+    sized = duplicate_candidates(files.where(known), ["file_size", "width", "height"])
+    return sized.unionByName(duplicate_candidates(files.where(f"NOT ({known})"), ["file_size"])).dropDuplicates(["id"])
+
+
 def similar_groups(hashes: DataFrame, most: int = 10) -> DataFrame:
     """``(id, group_id)`` of pictures that chains of similar pairs connect; lone ones are left out.
 
@@ -103,10 +111,11 @@ def similar_metrics(best: DataFrame) -> DataFrame:
     )
 
 
-def group_numbers(groups: DataFrame, by: str = "group_id") -> DataFrame:
-    """Numbers from 1 in order of ``by``: offsets of range-partitioned parts, no single task."""
-    parts = groups.repartitionByRange(by).withColumn("_part", F.spark_partition_id())
+def group_numbers(groups: DataFrame, *by: Column | str) -> DataFrame:
+    """Numbers from 1 in order of ``by`` (default group_id): offsets of range-partitioned parts, no single task."""
+    by = by or ("group_id",)
+    parts = groups.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
     sizes = parts.groupBy("_part").count()
     before = sizes.withColumn("_before", F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_part").orderBy(by))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*by))
     return parts.join(before, "_part").withColumn("group_no", place + F.col("_before")).drop("_part", "_before")

@@ -47,18 +47,15 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = edges.select("a", "b").where("a <> b").join(order.toDF("a", "rank_a"), "a").join(order.toDF("b", "rank_b"), "b")
     late, early = F.when(F.col("rank_a") > F.col("rank_b"), F.col("a")).otherwise(F.col("b")), F.when(F.col("rank_a") > F.col("rank_b"), F.col("b")).otherwise(F.col("a"))
     pairs = settled(pairs.select(late.alias("late"), early.alias("early"), F.least("rank_a", "rank_b").alias("rank")).distinct())
-    still, leaders = pairs.select("late", "early"), None
+    still, followers = pairs.select("late", "early"), None
     while not still.isEmpty():
-        leads = settled(still.select("early").distinct().join(still.select(F.col("late").alias("early")), "early", "left_anti"))
-        leaders = leads if leaders is None else leaders.union(leads)
-        follow = still.join(leads, "early", "left_semi").select("late").distinct()
-        rest = still.join(follow, "late", "left_anti")
-        # A pair whose earlier end follows binds no longer; its later end may then be free to lead.
-        loose = rest.join(follow.select(F.col("late").alias("early")), "early", "left_semi").select("late")
-        still = settled(rest.join(follow.select(F.col("late").alias("early")), "early", "left_anti"))
-        freed = loose.distinct().join(still.select("late"), "late", "left_anti").join(still.select(F.col("early").alias("late")), "late", "left_anti")
-        leaders = leaders.union(settled(freed.select(F.col("late").alias("early"))))
-    if leaders is None:
+        # An early end that is no late end of an open pair leads; its late ends follow.
+        follow = settled(still.join(still.select(F.col("late").alias("early")), "early", "left_anti").select("late").distinct())
+        followers = follow if followers is None else followers.union(follow)
+        # Pairs of a follower bind no longer, on either side.
+        still = settled(still.join(follow, "late", "left_anti").join(follow.select(F.col("late").alias("early")), "early", "left_anti"))
+    if followers is None:
         return nodes.select("id", F.col("id").alias("leader"))
-    first = pairs.join(leaders, "early", "left_semi").groupBy(F.col("late").alias("id")).agg(F.min_by("early", "rank").alias("leader"))
+    # All who do not follow lead, so a follower's leader is the first of its earlier neighbours that does not.
+    first = pairs.join(followers.select(F.col("late").alias("early")), "early", "left_anti").groupBy(F.col("late").alias("id")).agg(F.min_by("early", "rank").alias("leader"))
     return nodes.select("id").join(first, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))

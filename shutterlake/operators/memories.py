@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as S
@@ -201,29 +200,24 @@ def score(candidates: DataFrame) -> DataFrame:
 def ranked(candidates: DataFrame, top: int = 50, per_day: int = 3, per_person: int = 2, per_place: int = 1) -> DataFrame:
     """The best ``top`` candidates of each batch, at most ``per_day`` of one start
     date, ``per_person`` with one person and ``per_place`` of one location;
-    ``place`` counts from 0. A batch holds few candidates, one row group each."""
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        days, persons, places, taken = {}, {}, {}, []
-        for i, r in enumerate(rows.itertuples(index=False)):
-            day = None if pd.isna(r.date_start) else r.date_start.date()
-            who, where = list(r.person_ids), r.location_hint
-            full = days.get(day, 0) >= per_day or any(persons.get(p, 0) >= per_person for p in who) or (where is not None and places.get(where, 0) >= per_place)
-            if full or len(taken) >= top:
-                continue
-            taken.append(i)
-            days[day] = days.get(day, 0) + 1
-            for p in who:
-                persons[p] = persons.get(p, 0) + 1
-            if where is not None:
-                places[where] = places.get(where, 0) + 1
-        out = rows.iloc[taken][["batch", "id"]].copy()
-        out["place"] = range(len(out))
-        return out
-
-    few = candidates.select("batch", "id", "score", "date_start", "person_ids", "location_hint")
-    chosen = few.groupBy("batch").applyInPandas(choose, "batch bigint, id string, place int")
+    ``place`` counts from 0. A fold over the batch's candidates by falling score
+    carries those taken, ``top`` at most."""
+    persons = F.coalesce("person_ids", F.array().cast(candidates.schema["person_ids"].dataType))
+    row = F.struct((-F.round("score", 12)).alias("k"), "id", F.to_date("date_start").alias("day"), persons.alias("persons"), F.col("location_hint").alias("spot"))
+    count = lambda taken, holds: F.size(F.filter(taken, holds))
+
+    def choose(taken, r):
+        full = (
+            (F.size(taken) >= top)
+            | (count(taken, lambda t: t["day"].eqNullSafe(r["day"])) >= per_day)
+            | F.exists(r["persons"], lambda p: count(taken, lambda t: F.array_contains(t["persons"], p)) >= per_person)
+            | F.coalesce(count(taken, lambda t: t["spot"] == r["spot"]) >= per_place, F.lit(False))
+        )
+        return F.when(full, taken).otherwise(F.array_append(taken, r))
+
+    rows = candidates.groupBy("batch").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    none = F.slice("_rows", F.lit(1), F.lit(0))
+    chosen = rows.select("batch", F.posexplode(F.aggregate("_rows", none, choose)).alias("place", "_t")).select("batch", F.col("_t.id").alias("id"), "place")
     return candidates.join(chosen, ["batch", "id"])
 
 

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the
-    session names none, as in tests on one machine."""
+    """The folder of ``spark.checkpoint.dir``. Where the session names none, a
+    local session gets a temporary one and a cluster an error."""
     context = spark.sparkContext._jsc.sc()
     held = context.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
-    named = named or tempfile.mkdtemp(prefix="shutterlake-")
+    if not named:
+        if not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="shutterlake-")
     if not held.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -23,3 +26,8 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once; later steps read its files, even after executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

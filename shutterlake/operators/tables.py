@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as S
 
@@ -50,9 +50,10 @@ def keyed_update(rows: DataFrame, updates: DataFrame, key: str, columns: list[st
     return out.select(*rows.columns)
 
 
-def upsert(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+def upsert(rows: DataFrame, changes: DataFrame, key: str | list[str]) -> DataFrame:
     """``changes`` over ``rows``: matching keys are replaced, others added. Both have the same columns."""
-    return rows.join(changes.select(key), key, "left_anti").select(*changes.columns).unionByName(changes)
+    keys = [key] if isinstance(key, str) else key
+    return rows.join(changes.select(*keys), keys, "left_anti").select(*changes.columns).unionByName(changes)
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str, gone_key: str | None = None) -> DataFrame:
@@ -65,6 +66,53 @@ def fill_rate(done: Column, total: Column) -> Column:
     return F.when(total > 0, done * 100.0 / total).otherwise(F.lit(0.0))
 
 
+def seconds_left(elapsed: Column, done: Column, total: Column) -> Column:
+    """Time for the rest at the pace so far; null before anything is done."""
+    return F.when(done > 0, elapsed / done * (total - done))
+
+
+def marked(rows: DataFrame, chosen: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``values`` set where the key is among ``chosen``."""
+    keys = chosen.select(key).distinct().withColumn("_marked", F.lit(True))
+    out = rows.join(keys, key, "left")
+    return out.withColumns({c: F.when(F.col("_marked"), v).otherwise(F.col(c)) for c, v in values.items()}).select(*rows.columns)
+
+
+def stamped(rows: DataFrame, passed: DataFrame, key: str, column: str, at: Column) -> DataFrame:
+    """``rows`` with the time ``at`` in ``column`` for all keys of ``passed``; keys that ``rows`` lacks are added."""
+    new = passed.select(key).distinct().join(rows.select(key), key, "left_anti").withColumn(column, at)
+    return marked(rows, passed, key, {column: at}).unionByName(new, allowMissingColumns=True)
+
+
+def pending(photos: DataFrame, state: int, where: Column | None = None) -> DataFrame:
+    """Photos that wait in ``state``, of all folders or of those that ``where`` picks."""
+    waiting = photos.where(F.col("state") == state)
+    return waiting if where is None else waiting.where(where)
+
+
+def selected(rows: DataFrame, chosen: DataFrame, key: str, keep_out=None) -> DataFrame:
+    """The ``chosen`` rows that are still there, without the key ``keep_out``."""
+    out = rows.join(chosen.select(key), key, "left_semi")
+    return out if keep_out is None else out.where(F.col(key) != F.lit(keep_out))
+
+
+def merged_results(results: DataFrame, by: list[str], counters: list[str], errors: str) -> DataFrame:
+    """Results added up: counters summed, error lists put together and sorted."""
+    return results.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counters], F.array_sort(F.flatten(F.collect_list(errors))).alias(errors))
+
+
+def people_page(people: DataFrame, mode: str, take: int) -> DataFrame:
+    """The first ``take`` people by name (``alphabetical``), last appearance or
+    else creation (``recent``) or number of faces (``faces``); ties by id."""
+    order = {"alphabetical": F.col("name").asc(), "recent": F.coalesce("last_seen", "created").desc(), "faces": F.col("n").desc()}
+    return people.orderBy(order[mode], "person_id").limit(take).withColumn("_order", F.monotonically_increasing_id())
+
+
+def placed(page: DataFrame, *columns: str) -> DataFrame:
+    """A page's rows with their place from 1; a page is small."""
+    return page.select(*columns, F.row_number().over(W.orderBy("_order")).alias("place"))
+
+
 def ignored_path(path: Column) -> Column:
     """Caches, temporary and hidden files, and names that are never catalogued."""
     name, low = S.file_name(path), F.lower(F.replace(path, F.lit("\\"), F.lit("/")))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
+from .duplicates import group_numbers
 from .graph import greedy_leaders
 
 
@@ -17,33 +20,56 @@ def centroids(vectors: DataFrame, by: str = "person_id", vector: str = "embeddin
     return whole.select(by, S.l2_normalised(F.col("mean")).alias("centroid"))
 
 
-def nearest(vectors: DataFrame, targets: DataFrame, threshold: float, strict: bool = False, key: str = "face_id", blocks: int = 16) -> DataFrame:
+def nearest(vectors: DataFrame, targets: DataFrame, threshold: float, strict: bool = False, key: str = "face_id", block: int = 256) -> DataFrame:
     """``(key, target_id, similarity)`` of the most similar target; vectors with
     none above the threshold are left out. Ties go to the smallest target.
 
-    Targets (``target_id``, ``vector``) come in blocks: a vector meets one row
-    per block and keeps that block's best, so no row per pair is made.
+    Targets (``target_id``, ``vector``) come in rows of about ``block``, as many
+    rows as their number asks for. Vectors and rows meet by block and salt, so
+    no key holds more than a share of the vectors; a vector keeps one best
+    target per block, so no row per pair is made.
     """
-    block = targets.groupBy(F.pmod(F.xxhash64("target_id"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("target_id", "vector")).alias("_targets"))
+    spark = vectors.sparkSession
+    blocks, salts = max(1, -(-targets.count() // block)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row = targets.groupBy(F.pmod(F.xxhash64("target_id"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("target_id", "vector")).alias("_targets"))
+    rows = row.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = vectors.where("embedding IS NOT NULL").select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
     scored = F.transform("_targets", lambda t: F.struct(S.cosine(F.col("embedding"), t["vector"]).alias("s"), (-t["target_id"]).alias("k")))
-    best = vectors.where("embedding IS NOT NULL").select(key, "embedding").crossJoin(block.select("_targets")).select(key, F.array_max(scored).alias("_best"))
+    best = spread.join(rows, ["_block", "_salt"]).select(key, F.array_max(scored).alias("_best"))
     out = best.groupBy(key).agg(F.max("_best").alias("_best")).select(key, (-F.col("_best.k")).alias("target_id"), F.col("_best.s").alias("similarity"))
     return out.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 
-def similar_vectors(vectors: DataFrame, threshold: float, key: str = "id", blocks: int = 16) -> DataFrame:
+def similar_vectors(vectors: DataFrame, threshold: float, key: str = "id", block: int = 1024) -> DataFrame:
     """``(a, b, similarity)`` for all pairs a < b with a cosine of at least ``threshold``.
 
-    Rows are dealt into blocks, and each pair of blocks is one unit of work,
-    keyed by both numbers: vectors are copied ``blocks`` times, the comparisons
-    spread over ``blocks²/2`` keys, and only pairs above the threshold leave.
+    Rows are dealt into blocks of about ``block``, and each pair of blocks is one
+    unit of work, keyed by both numbers, in which one matrix product gives all
+    cosines; only pairs above the threshold leave. Vectors are of one length; a
+    zero vector is like none.
     """
-    v = vectors.where("embedding IS NOT NULL").select(F.col(key).alias("id"), "embedding", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
-    left = v.select(F.col("id").alias("a"), F.col("embedding").alias("ea"), F.col("_b").alias("i"), F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1))).alias("j"))
-    right = v.select(F.col("id").alias("b"), F.col("embedding").alias("eb"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("i"), F.col("_b").alias("j"))
-    pairs = left.join(right, ["i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
-    found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), S.cosine(F.col("ea"), F.col("eb")).alias("similarity"))
-    return found.where(F.col("similarity") >= threshold)
+    v = vectors.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias("id"), "embedding")
+    blocks = max(1, -(-v.count() // block))
+    v = v.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    seats = v.withColumn("_o", other).select("id", "embedding", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).alias("right"))
+
+    def pairs(key, rows):
+        rows = rows.combine_chunks()
+        ids, side = rows.column("id").to_numpy(), rows.column("right").to_numpy(zero_copy_only=False)
+        x = rows.column("embedding").combine_chunks()
+        x = np.asarray(x.flatten(), np.float64).reshape(len(ids), -1)
+        norm = np.sqrt((x * x).sum(axis=1))
+        x = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
+        alone = key[0].as_py() == key[1].as_py()
+        left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(~side), np.flatnonzero(side))
+        like = x[left] @ x[right].T
+        r, c = np.nonzero(like >= threshold)
+        a, b, s = ids[left[r]], ids[right[c]], like[r, c]
+        keep = a < b if alone else np.ones(len(a), bool)
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": np.minimum(s, 1.0)[keep]})
+
+    return seats.groupBy("i", "j").applyInArrow(pairs, "a long, b long, similarity double")
 
 
 def leader_clusters(vectors: DataFrame, threshold: float = 0.6, key: str = "id") -> DataFrame:
@@ -57,7 +83,7 @@ def leader_clusters(vectors: DataFrame, threshold: float = 0.6, key: str = "id")
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
     """One row per cluster, numbered -1, -2, … by falling size, then leader."""
     sizes = clusters.groupBy("leader").agg(F.count("*").alias("n"))
-    return sizes.withColumn("cluster_id", -F.row_number().over(W.orderBy(F.desc("n"), "leader")))
+    return group_numbers(sizes, F.desc("n"), F.asc("leader")).select("leader", "n", (-F.col("group_no")).alias("cluster_id"))
 
 
 def assign_or_cluster(vectors: DataFrame, targets: DataFrame, threshold: float, key: str = "face_id") -> DataFrame:
@@ -66,8 +92,8 @@ def assign_or_cluster(vectors: DataFrame, targets: DataFrame, threshold: float,
     old = nearest(vectors, targets, threshold, strict=True, key=key).select(key, F.col("target_id").alias("person_id"), F.lit(False).alias("is_new"))
     rest = vectors.join(old, key, "left_anti")
     groups = leader_clusters(rest, threshold, key)
-    numbers = groups.select("leader").distinct().withColumn("_n", F.row_number().over(W.orderBy("leader")))
-    last = targets.agg(F.coalesce(F.max("target_id"), F.lit(-1)).alias("_last"))
+    numbers = group_numbers(groups.select("leader").distinct(), "leader").select("leader", F.col("group_no").alias("_n"))
+    last = targets.agg(F.coalesce(F.max("target_id"), F.lit(-1)).alias("_last"))  # one row
     new = groups.join(numbers, "leader").crossJoin(last).select(F.col("id").alias(key), (F.col("_last") + F.col("_n")).alias("person_id"), F.lit(True).alias("is_new"))
     return old.unionByName(new)
 
@@ -94,6 +120,22 @@ def decode_anchors(cells: DataFrame, stride: int, size: int, least: float = 0.5)
     return cells.where(F.col("score") >= least).withColumns({"x": x, "y": y, "w": x2 - x, "h": y2 - y})
 
 
+def decode_grid(cells: DataFrame, stride: int, size: int, least: float = 0.5) -> DataFrame:
+    """Detector cells (gx, gy; cls, obj; distances l, t, r, b in strides) as boxes
+    with sides from 0 to 1. The score is class times objectness; outputs that lie
+    outside 0 to 1 anywhere are taken as they come, others go through a sigmoid."""
+    baked = cells.agg(F.coalesce(F.bool_or((F.greatest("cls", "obj") > 1) | (F.least("cls", "obj") < 0)), F.lit(False)).alias("_baked"))  # one row
+    squash = lambda c: F.when(F.col("_baked"), F.col(c)).otherwise(1 / (1 + F.exp(-F.col(c))))
+    centred = cells.crossJoin(baked).withColumns({"score": squash("cls") * squash("obj"), "cx": F.col("gx") + 0.5, "cy": F.col("gy") + 0.5})
+    return decode_anchors(centred.drop("_baked"), stride, size, least)
+
+
+def decode_flat(rows: DataFrame, width: float, height: float, least: float = 0.5) -> DataFrame:
+    """Rows of corners x1, y1, x2, y2 in pixels and a score as boxes with sides from 0 to 1; empty boxes go."""
+    kept = rows.where((F.col("score") >= least) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    return kept.withColumns({"x": F.col("x1") / width, "y": F.col("y1") / height, "w": (F.col("x2") - F.col("x1")) / width, "h": (F.col("y2") - F.col("y1")) / height})
+
+
 def clip_box(boxes: DataFrame, width: int, height: int) -> DataFrame:
     """Boxes in pixels cut to the picture; those that leave nothing go."""
     left, top = F.greatest(F.lit(0), F.col("x")), F.greatest(F.lit(0), F.col("y"))

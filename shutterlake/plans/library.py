@@ -177,17 +177,32 @@ def similar_vectors(spark, sf_dir):
     return V.similar_vectors(read(spark, sf_dir, "embeddings"), _ALIKE, "vec_id").withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+def _led(nodes: str, key: str, alike: str) -> str:
+    """SQL of one pass over ``nodes`` by ``key``: table led(id, leader)."""
+    x = "list_transform(embedding, lambda x: x::DOUBLE)"
+    return f"""v AS (SELECT {key} AS id, {x} AS x, row_number() OVER (ORDER BY {key}) AS k FROM {nodes}),
+    e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.x, b.x) >= {alike}),
+    pass(k, leads) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+        SELECT pass.k + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.b = v.id AND list_contains(leads, e.a)) THEN leads ELSE list_append(leads, v.id) END FROM pass JOIN v ON v.k = pass.k + 1),
+    leads AS (SELECT unnest(arg_max(leads, k)) AS id FROM pass),
+    led AS (SELECT v.id, coalesce(l.id, (SELECT min(e.a) FROM e JOIN leads x ON x.id = e.a WHERE e.b = v.id)) AS leader FROM v LEFT JOIN leads l ON l.id = v.id)"""
+
+
+@query(f"WITH RECURSIVE {_led('embeddings', 'vec_id', _ALIKE)} SELECT id, leader FROM led")
 def leader_clusters(spark, sf_dir):
     return V.leader_clusters(read(spark, sf_dir, "embeddings"), _ALIKE, "vec_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {_led('embeddings', 'vec_id', _ALIKE)} SELECT leader, count(*) AS n, -row_number() OVER (ORDER BY count(*) DESC, leader) AS cluster_id FROM led GROUP BY leader")
 def cluster_sizes(spark, sf_dir):
     return V.cluster_sizes(V.leader_clusters(read(spark, sf_dir, "embeddings"), _ALIKE, "vec_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CENTROIDS[5:]}, s AS (SELECT face_id, n.person_id, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), c) AS s FROM faces_v f, n WHERE f.is_unassigned),
+    old AS (SELECT face_id, person_id FROM s WHERE s > {_ALIKE} QUALIFY row_number() OVER (PARTITION BY face_id ORDER BY s DESC, person_id) = 1),
+    rest AS (SELECT face_id, embedding FROM faces_v WHERE is_unassigned AND face_id NOT IN (SELECT face_id FROM old)), {_led('rest', 'face_id', _ALIKE)}
+    SELECT face_id, person_id, false AS is_new FROM old UNION ALL
+    SELECT id, (SELECT max(person_id) FROM n) + dense_rank() OVER (ORDER BY leader), true FROM led""")
 def assign_or_cluster(spark, sf_dir):
     people = _person_centroids(spark, sf_dir).select(F.col("person_id").alias("target_id"), F.col("centroid").alias("vector"))
     return V.assign_or_cluster(view(spark, sf_dir, "faces_v").where("is_unassigned"), people, _ALIKE)

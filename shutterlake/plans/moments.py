@@ -121,10 +121,11 @@ def person_memories(spark, sf_dir):
     return _listed(out.withColumn("photo_ids", F.array_sort(F.col("photo_ids").cast("array<string>"))))
 
 
-@query(f"""WITH p AS (SELECT *, {_BATCH}, {EFF} AS eff, round(round_even(lat, 2) * 100)::INT || ',' || round(round_even(lon, 2) * 100)::INT AS cell FROM photos_v WHERE lat IS NOT NULL AND lon IS NOT NULL)
+@query(f"""WITH p AS (SELECT *, floor(id / 5000)::BIGINT AS batch, {EFF} AS eff, round(round_even(lat, 2) * 100)::INT || ',' || round(round_even(lon, 2) * 100)::INT AS cell FROM photos_v WHERE lat IS NOT NULL AND lon IS NOT NULL)
     SELECT batch, 'Location:' || batch || ':' || cell AS id, {_IDS}, min(eff) AS date_start, max(eff) AS date_end, round(count(*) * 0.08::DOUBLE, 6) AS score FROM p GROUP BY batch, cell HAVING count(*) >= 3""")
 def location_memories(spark, sf_dir):
-    return _listed(M.location_candidates(_batched(spark, sf_dir)))
+    """Batches of 200 hold too few photos of one cell; these have 5000."""
+    return _listed(M.location_candidates(M.batches(_photos(spark, sf_dir), 5000)))
 
 
 @query(f"""WITH p AS (SELECT *, {_BATCH}, {EFF} AS eff FROM photos_v), l AS (SELECT *, lag(eff) OVER (PARTITION BY batch ORDER BY eff, id) AS e0 FROM p),
@@ -157,22 +158,59 @@ def _candidates(spark, sf_dir):
     return settled(reduce(lambda a, b: a.unionByName(b), all_kinds))
 
 
-@query()
+_CELL = "round(round_even(lat, 2) * 100)::INT || ',' || round(round_even(lon, 2) * 100)::INT"
+_HIT = f"month(date_taken) = 1 AND day(date_taken) = 15 AND year(date_taken) < year({NOW}) - 1"
+#: All candidates (c), merged in one pass per batch (m), scored (s) and ranked in one pass per batch (r).
+_CHAIN = f"""WITH RECURSIVE p AS (SELECT *, {_BATCH}, {EFF} AS eff, {_HOLIDAY} AS holiday, {_CELL} AS cell, coalesce({_HIT}, false) AS hit FROM photos_v),
+    gap AS (SELECT *, lag(eff) OVER (PARTITION BY batch ORDER BY eff, id) AS e0 FROM p),
+    act AS (SELECT *, sum(CASE WHEN e0 IS NULL OR eff - e0 > INTERVAL 4 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY batch ORDER BY eff, id)::BIGINT AS session FROM gap),
+    c AS (SELECT batch, 'Day' AS type, 'Day:' || batch || ':day' AS id, list(id ORDER BY id) FILTER (hit) AS photos, []::BIGINT[] AS persons, min(date_taken) FILTER (hit) AS date_start, max(date_taken) FILTER (hit) AS date_end,
+            'On This Day' AS act, NULL::VARCHAR AS spot, NULL::VARCHAR AS hol, count(*) FILTER (hit) * 0.1::DOUBLE AS score FROM p WHERE date_taken IS NOT NULL GROUP BY batch HAVING count(*) >= 3 AND count(*) FILTER (hit) >= 2
+        UNION ALL SELECT batch, 'Person', 'Person:' || batch || ':' || person_id, list(DISTINCT p.id ORDER BY p.id), [person_id], NULL, NULL, 'Moments with Person ' || person_id, NULL, NULL, count(*) * 0.12::DOUBLE
+            FROM p JOIN faces_v f ON f.photo_id = p.id WHERE NOT is_unassigned GROUP BY batch, person_id HAVING count(*) >= 3
+        UNION ALL SELECT batch, 'Location', 'Location:' || batch || ':' || cell, list(id ORDER BY id), [], min(eff), max(eff), NULL, cell, NULL, count(*) * 0.08::DOUBLE FROM p WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY batch, cell HAVING count(*) >= 3
+        UNION ALL SELECT batch, 'Activity', 'Activity:' || batch || ':' || session, list(id ORDER BY id), [], min(eff), max(eff), 'Moments', NULL, NULL, count(*) * 0.07::DOUBLE FROM act GROUP BY batch, session HAVING count(*) >= 3
+        UNION ALL SELECT batch, 'Holiday', 'Holiday:' || batch || ':' || holiday, list(id ORDER BY id), [], NULL, NULL, NULL, NULL, holiday, count(*) * CASE WHEN holiday = 'Christmas' THEN 0.15 ELSE 0.1 END::DOUBLE
+            FROM p WHERE holiday IS NOT NULL GROUP BY batch, holiday HAVING count(*) >= 2),
+    o AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY score DESC, id) AS k FROM c),
+    e AS (SELECT a.batch, a.k AS ak, b.k AS bk FROM o a JOIN o b ON a.batch = b.batch AND a.k < b.k, LATERAL (SELECT len(list_intersect(a.photos, b.photos)) AS n) WHERE n / (len(a.photos) + len(b.photos) - n) > 0.5),
+    pass(batch, k, leads) AS (SELECT batch, 1::BIGINT, [1::BIGINT] FROM o WHERE k = 1 UNION ALL
+        SELECT pass.batch, pass.k + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.batch = pass.batch AND bk = pass.k + 1 AND list_contains(leads, ak)) THEN leads ELSE list_append(leads, o.k) END
+        FROM pass JOIN o ON o.batch = pass.batch AND o.k = pass.k + 1),
+    led AS (SELECT o.batch, o.k, CASE WHEN list_contains(leads, o.k) THEN o.k ELSE (SELECT min(ak) FROM e WHERE e.batch = o.batch AND bk = o.k AND list_contains(leads, ak)) END AS leader
+        FROM o JOIN (SELECT batch, arg_max(leads, k) AS leads FROM pass GROUP BY 1) USING (batch)),
+    u AS (SELECT batch, leader AS k, list_sort(list_distinct(flatten(list(photos)))) AS photos, list_sort(list_distinct(flatten(list(persons)))) AS persons FROM o JOIN led USING (batch, k) GROUP BY batch, leader),
+    m AS (SELECT o.* EXCLUDE (photos, persons, k), u.photos, u.persons FROM o JOIN u USING (batch, k)),
+    t AS (SELECT *, 0.20 * least(1.0, len(photos) * 0.02) + 0.25 * least(1.0, len(persons) * 0.15) + 0.15 * least(1.0, len(photos) * 0.01)
+        + CASE WHEN act IS NULL THEN 0.0 ELSE 0.05 END + CASE WHEN spot IS NULL THEN 0.0 ELSE 0.04 END + CASE WHEN hol IS NULL THEN 0.0 ELSE 0.15 END AS total FROM m),
+    s AS (SELECT * EXCLUDE (score, total), least(1.0, total * (0.7 + 0.3 * log10(len(photos) + 1) / log10(101.0)))::DOUBLE AS score FROM t),
+    q AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY round(score, 12) DESC, id) AS k FROM s),
+    pick(batch, k, taken) AS (SELECT DISTINCT batch, 0::BIGINT, []::STRUCT(k BIGINT, d DATE, persons BIGINT[], spot VARCHAR)[] FROM q UNION ALL
+        SELECT q.batch, q.k, CASE WHEN len(taken) >= 50 OR len(list_filter(taken, lambda t: t.d IS NOT DISTINCT FROM date_start::DATE)) >= 3
+            OR len(list_filter(persons, lambda w: len(list_filter(taken, lambda t: list_contains(t.persons, w))) >= 2)) > 0 OR len(list_filter(taken, lambda t: coalesce(t.spot = q.spot, false))) >= 1
+            THEN taken ELSE list_append(taken, {{'k': q.k, 'd': date_start::DATE, 'persons': persons, 'spot': q.spot}}) END FROM pick JOIN q ON q.batch = pick.batch AND q.k = pick.k + 1),
+    r AS (SELECT q.*, list_position(list_transform(taken, lambda t: t.k), q.k)::INT - 1 AS place FROM q JOIN (SELECT batch, arg_max(taken, k) AS taken FROM pick GROUP BY 1) USING (batch) WHERE list_contains(list_transform(taken, lambda t: t.k), q.k))"""
+
+
+@query(f"{_CHAIN} SELECT batch, id, array_to_string(photos, ',') AS photo_ids, date_start, date_end, round(score, 6) AS score FROM m")
 def memory_candidates_merged(spark, sf_dir):
     return _listed(M.merged(_candidates(spark, sf_dir)))
 
 
-@query()
+@query(f"{_CHAIN} SELECT batch, id, type, round(score, 6) AS score FROM s")
 def memory_scores(spark, sf_dir):
     return M.score(M.merged(_candidates(spark, sf_dir))).select("batch", "id", "type", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"{_CHAIN} SELECT batch, id, type, place FROM r")
 def memory_ranked(spark, sf_dir):
     return M.ranked(M.score(M.merged(_candidates(spark, sf_dir)))).select("batch", "id", "type", "place")
 
 
-@query()
+@query(f"""{_CHAIN}, d AS (SELECT *, len(photos) AS n, coalesce(date_start, {NOW}) AS shown_start, coalesce(date_end, {NOW}) AS shown_end FROM r),
+    y AS (SELECT *, floor((epoch_us(shown_end) - epoch_us(shown_start)) / 86400000000.0)::BIGINT + 1 AS days FROM d)
+    SELECT id, CASE type WHEN 'Location' THEN 'At ' || spot WHEN 'Holiday' THEN hol || ' Memories' ELSE act END AS title,
+        n || ' photo' || CASE WHEN n <> 1 THEN 's' ELSE '' END || CASE WHEN days > 1 THEN ' • ' || days || ' days' ELSE '' END AS subtitle, photos[1] AS cover_photo_id, shown_start, shown_end FROM y""")
 def memory_titles(spark, sf_dir):
     out = M.assembled(M.ranked(M.score(M.merged(_candidates(spark, sf_dir)))), _now())
     return out.select("id", "title", "subtitle", "cover_photo_id", "shown_start", "shown_end")

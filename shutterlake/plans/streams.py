@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..streaming import events as E
 from .registry import query
 
@@ -28,10 +30,11 @@ def stream_debounce(spark, sf_dir):
     return E.drained(E.debounce(_events(spark, sf_dir), "user_id", "ts", "event_id", 6 * 3600 * 1_000_000))
 
 
-@query("SELECT event_id FROM events GROUP BY 1")
+@query("SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H') AS hour FROM events GROUP BY ALL")
 def stream_dedup(spark, sf_dir):
-    twice = _events(spark, sf_dir)
-    return E.drained(E.first_seen(twice.unionAll(twice), ["event_id"], "ts").select("event_id"))
+    """One event of a kind per user and hour, from a stream that brings each event twice."""
+    twice = _events(spark, sf_dir).selectExpr("*", "date_format(ts, 'yyyy-MM-dd HH') AS hour")
+    return E.drained(E.first_seen(twice.unionAll(twice), ["user_id", "event_type", "hour"], "ts", "2 hours").select("user_id", "event_type", "hour"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -41,7 +44,17 @@ def stream_daily_counts(spark, sf_dir):
     return E.drained_complete(counts).selectExpr("CAST(window_start AS TIMESTAMP_NTZ) AS window_start", "event_type", "n")
 
 
-@query()
+@query("""WITH p AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t0 FROM events),
+    s AS (SELECT *, sum(CASE WHEN t0 IS NULL OR ts - t0 > INTERVAL 90 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM p),
+    g AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS items, count(*) AS n FROM s GROUP BY user_id, k)
+    SELECT user_id, first_ts, last_ts, items, n FROM g WHERE date_trunc('milliseconds', last_ts + INTERVAL 90 MINUTE) <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def stream_quiet_batches(spark, sf_dir):
-    out = E.drained(E.quiet_batches(_events(spark, sf_dir), "ts", "event_id", "10 minutes"))
-    return out.selectExpr("CAST(first_ts AS TIMESTAMP_NTZ) AS first_ts", "CAST(last_ts AS TIMESTAMP_NTZ) AS last_ts", "size(items) AS n")
+    out = E.drained(E.quiet_batches(_events(spark, sf_dir), "user_id", "ts", "event_id", "90 minutes"))
+    return out.selectExpr("user_id", "CAST(first_ts AS TIMESTAMP_NTZ) AS first_ts", "CAST(last_ts AS TIMESTAMP_NTZ) AS last_ts", "array_join(CAST(items AS ARRAY<STRING>), ',') AS items", "CAST(size(items) AS BIGINT) AS n")
+
+
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first_id, sum(user_id)::BIGINT AS users FROM events GROUP BY 1")
+def stream_persisted(spark, sf_dir):
+    """Every event once, committed batch by batch."""
+    out = E.persisted(_events(spark, sf_dir))
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.sum("user_id").alias("users"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.storage import shared_folder
+from ..operators.storage import remove, settled, shared_folder
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, files_per_trigger: int = 100) -> DataFrame:
@@ -34,11 +34,12 @@ def session_counts(events: DataFrame, key: str, ts: str, gap: str = "4 hours", l
     return out.drop("_w")
 
 
-def quiet_batches(events: DataFrame, ts: str, item: str, quiet: str = "1 second", late: str = "1 hour", key: str | None = None) -> DataFrame:
-    """Items that arrive without a pause of ``quiet``, in one list per batch."""
+def quiet_batches(events: DataFrame, key: str, ts: str, item: str, quiet: str = "1 second", late: str = "1 hour") -> DataFrame:
+    """Per key the items that arrive without a pause of ``quiet``, in one sorted
+    list per batch. A batch is given once the watermark has passed its pause."""
     timed = with_event_time(events, ts, late)
-    by = [F.session_window(ts, quiet).alias("_w")] + ([F.col(key)] if key else [])
-    return timed.groupBy(*by).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.array_sort(F.collect_list(item)).alias("items")).drop("_w")
+    by = timed.groupBy(F.col(key), F.session_window(ts, quiet).alias("_w"))
+    return by.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.array_sort(F.collect_list(item)).alias("items")).drop("_w")
 
 
 def tumbling_counts(events: DataFrame, ts: str, width: str, by: list[str], late: str = "1 hour") -> DataFrame:
@@ -78,20 +79,56 @@ def debounce(events: DataFrame, key: str, ts: str, order: str, gap_micros: int,
     return out.select(F.col("k").alias(key), F.col("o").alias(order))
 
 
+def _stored(spark: SparkSession, run) -> DataFrame:
+    """What ``run(folder)`` leaves in ``folder``/rows, settled; the folder goes in any case."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    try:
+        return settled(run(at))
+    finally:
+        remove(spark, at)
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that ``stream`` gives for the input there is, as a stored table."""
     spark = stream.sparkSession
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    run = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/log").outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+    def run(at):
+        sink = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/log")
+        sink.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+    return _stored(spark, run)
 
 
 def drained_complete(stream: DataFrame) -> DataFrame:
     """The whole result of an aggregation over the input there is; each trigger
     replaces the stored table."""
     spark = stream.sparkSession
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    keep = lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/rows")
-    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/log").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+    def run(at):
+        keep = lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/rows")
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/log").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+    return _stored(spark, run)
+
+
+def batch_writer(path: str):
+    """A ``foreachBatch`` function that commits each batch as a whole into
+    ``path``: a batch that runs again replaces what it wrote before."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+def persisted(stream: DataFrame) -> DataFrame:
+    """All rows of ``stream`` through ``batch_writer``, with the batch_id that wrote them."""
+    spark = stream.sparkSession
+
+    def run(at):
+        stream.writeStream.foreachBatch(batch_writer(f"{at}/rows")).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.withColumn("batch_id", F.lit(0)).schema).parquet(f"{at}/rows")
+
+    return _stored(spark, run)

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.functions import scalars as S
-from shutterlake.operators import classify, duplicates, graph, memories, sessions, tables, vectors
+from shutterlake.operators import classify, duplicates, graph, memories, people, sessions, tables, vectors
 from shutterlake.plans.library import leader_clusters as leader_query
+from shutterlake.sources import files
 
 T0 = datetime(2024, 1, 1)
 
@@ -164,3 +165,65 @@ def test_nearest_keeps_the_threshold(spark):
     assert {tuple(r) for r in vectors.nearest(faces, people, 0.6, strict=True).collect()} == {(1, 7, 1.0)}
     new = {(r["face_id"], r["person_id"], r["is_new"]) for r in vectors.assign_or_cluster(faces.where("face_id < 3"), people, 0.6).collect()}
     assert new == {(1, 7, False), (2, 9, True)}
+
+
+def test_filters_do_not_multiply_the_classifier(spark):
+    cols = "id long, folder_path string, file_stem string, ext string, camera_make string, camera_model string, lat double, lon double, file_size long"
+    photos = classify.classify(spark.createDataFrame([], cols))
+    plain = len(photos._jdf.queryExecution().optimizedPlan().toString())
+    rolled = len(classify.cleanup_categories(photos)._jdf.queryExecution().optimizedPlan().toString())
+    one = len(photos.where("category = 'Meme'").select("id")._jdf.queryExecution().optimizedPlan().toString())
+    assert rolled < 2 * plain and one < 2 * plain
+
+
+def test_nearest_over_several_blocks(spark):
+    rng = random.Random(4)
+    vec = lambda: [rng.uniform(-1, 1) for _ in range(8)]
+    f, t = [(i, vec()) for i in range(40)], [(i, vec()) for i in range(30)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {i: max(((cos(v, w), -j) for j, w in t))[1] * -1 for i, v in f if max(cos(v, w) for _, w in t) >= 0.3}
+    got = vectors.nearest(spark.createDataFrame(f, "face_id long, embedding array<double>"), spark.createDataFrame(t, "target_id long, vector array<double>"), 0.3, block=7)
+    assert {r["face_id"]: r["target_id"] for r in got.collect()} == want
+    pairs = vectors.similar_vectors(spark.createDataFrame(f, "id long, embedding array<double>"), 0.3, block=9)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(i, j) for i, v in f for j, w in f if i < j and cos(v, w) >= 0.3}
+
+
+def test_numbers_over_partitions(spark):
+    rows = spark.createDataFrame([(i, i % 7) for i in range(100)], "leader long, n long")
+    got = [r["leader"] for r in duplicates.group_numbers(rows, F.desc("n"), F.asc("leader")).orderBy("group_no").collect()]
+    assert got == sorted(range(100), key=lambda i: (-(i % 7), i))
+
+
+def test_people_commands(spark):
+    faces = spark.createDataFrame([(1, 10, False, False, T0), (2, 10, False, False, T0), (3, 11, False, True, T0), (4, None, False, False, None)], "face_id long, photo_id long, is_unassigned boolean, is_ignored boolean, created timestamp_ntz")
+    links = spark.createDataFrame([(7, 1), (7, 2), (8, 3), (7, 4), (9, 99)], "person_id long, face_id long")
+    stats = lambda l, f: {r["person_id"]: (r["face_count"], r["photo_count"]) for r in people.statistics(l, f).collect()}
+    assert stats(links, faces) == {7: (2, 1), 8: (0, 0), 9: (0, 0)}
+    one = spark.createDataFrame([(2,), (2,), (50,)], "face_id long")
+    assert stats(links, people.ignored(faces, one)) == {7: (1, 1), 8: (0, 0), 9: (0, 0)}
+    assert stats(people.split(links, one, 7, 70), faces)[70] == (1, 1)
+    assert {r["person_id"] for r in people.affected(links, one).collect()} == {7}
+    gone = people.recomputed(links.where("face_id > 100"), faces, spark.createDataFrame([(7,)], "person_id long"))
+    assert [tuple(r)[:3] for r in gone.collect()] == [(7, 0, 0)]
+    again, left = people.unassigned_again(faces, links, 7)
+    assert {r["face_id"] for r in again.where("is_unassigned").collect()} == {1, 2, 4} and left.count() == 2
+
+
+def test_files_are_found_below_a_folder(spark, tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    for name, size in (("x.JPG", 5), ("a/y.png", 7), ("a/b/z.txt", 9), ("a/b/w.jpg", 0)):
+        (tmp_path / name).write_bytes(b"0" * size)
+    found = files.files_under(spark, str(tmp_path))
+    assert {(r["file_name"], r["file_size"]) for r in found.collect()} == {("x.JPG", 5), ("y.png", 7)}
+    assert {tuple(r) for r in files.storage_totals(found).collect()} == {(".jpg", 1, 5), (".png", 1, 7)}
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
+    from shutterlake.streaming.events import batch_writer
+
+    write = batch_writer(str(tmp_path / "out"))
+    write(spark.range(5), 0)
+    write(spark.range(5, 8), 1)
+    write(spark.range(5), 0)
+    assert sorted((r["batch_id"], r["id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, i) for i in range(5)] + [(1, i) for i in (5, 6, 7)]

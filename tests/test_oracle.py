@@ -20,3 +20,12 @@ def test_entry_has_rows(spark):
 
 def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_catalogue_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
+
+
+@pytest.mark.parametrize("name", ["location_memories", "memory_titles", "stream_quiet_batches", "category_rollup"])
+def test_rows_are_there_to_compare(spark, name):
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
