@@ -258,8 +258,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         copies = whole.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s1", "s2")
         of_copies = whole.join(copies, ["s1", "s2"], "left_semi").select("_id", "_rk", F.lit(0).alias("p"), "n")
         led = found.where("name IS NOT NULL")
-        shared = save(led.join(_elsewhere(led, ["name"]), "name", "left_semi"))
-        judged = save(shared.join(_elsewhere(shared, ["u1", "u2"]).withColumn("whole", F.lit(True)), ["u1", "u2"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))))
+        # Keys are stored before they are joined: then the rows of a key that many texts
+        # share are a side of the join by themselves, which adaptive execution splits.
+        shared = save(led.join(save(_elsewhere(led, ["name"])), "name", "left_semi"))
+        equal = save(_elsewhere(shared, ["u1", "u2"])).withColumn("whole", F.lit(True))
+        judged = save(shared.join(equal, ["u1", "u2"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))))
         open_ones = judged.where("NOT whole")
         alike = judged.where("whole").join(open_ones.select("name").distinct(), "name", "left_semi")
         one_each = alike.groupBy("u1", "u2").agg(F.min(F.struct("_id", "_rk", "s1", "s2", "p", "n")).alias("x")).select("x.*")
@@ -267,7 +270,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         look = look.groupBy("_id", "_rk", "s1", "s2").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
         # Rows that repeat id and text would bring their spans twice; one is enough.
         windows = save(window_hashes(texts.join(look.hint("shuffle_hash"), ["_id", "_rk"]), window))
-        twice = windows.join(_elsewhere(windows, ["h1", "h2"]), ["h1", "h2"], "left_semi").select("_id", "_rk", "p", F.lit(window).alias("n"))
+        twice = windows.join(save(_elsewhere(windows, ["h1", "h2"])), ["h1", "h2"], "left_semi").select("_id", "_rk", "p", F.lit(window).alias("n"))
         settled_ones = judged.where("whole").select("_id", "_rk", "p", (F.col("n") + F.lit(window - 1)).alias("n"))
         every = of_copies.unionByName(settled_ones).unionByName(twice)
         return settled(every.groupBy("_id", "_rk").agg(F.collect_set(F.struct(F.col("p").cast("int"), F.col("n").cast("int"))).alias("spans")))
