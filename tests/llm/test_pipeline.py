@@ -75,3 +75,13 @@ def test_entry_registers_all():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(entry.oracle_sql()) <= names
+
+
+def test_stages_of_an_empty_table_and_null_columns(spark):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows in ([], [(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0)]):
+        docs = spark.createDataFrame(rows, kinds)
+        for _, stage in P.STAGES[1:-1]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert P.best_fit_packing(spark, docs, "").count() == min(1, len(rows))
