@@ -7,8 +7,10 @@ shuffled together and encoded once each; their ids are joined back to the
 blocks, which put their documents together by position. Decoding joins the
 documents' ids with the table of token bytes.
 
-A block's name comes from its content, so a task that runs again names it the
-same. Repeated blocks (the same documents twice) share one name and are told
+Words and positions are cut in two passes over the texts, which have to see
+the same rows in the same order: rows read straight from files do, any others
+are stored first. A block's name comes from its content, so a task that runs
+again names it the same. Repeated blocks (the same documents twice) share one name and are told
 apart by their place in the cogrouped rows.
 """
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import arrays as A
-from .shared import partitions
+from .shared import partitions, scratch, settled
 
 BLOCK_BYTES = 32_000_000
 
@@ -181,7 +183,7 @@ def join_token_bytes(ids: np.ndarray, body: np.ndarray, at: np.ndarray) -> bytes
     return body[np.repeat(at[ids], size) + A.ramp(size)].tobytes() if len(ids) else b""
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False, from_files: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids (binary, little-endian
     unsigned 32-bit) and decoded (the ids' bytes); with ``digests`` the lower-case
     hex SHA-256 of the last two in their place (ids_sha256, decoded_sha256).
@@ -191,7 +193,15 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool
     and other columns of ``docs`` are ignored. An empty table gives no rows.
     The token-byte table is a vocabulary, the same at any input size, so every
     task holds it.
+
+    ``from_files`` says that ``docs`` is read straight from files, with nothing
+    but column choices and filters behind, and so gives its rows in the same
+    order each time; else its doc_id and text are stored for the time of the
+    run and the result is settled.
     """
+    if not from_files:
+        with scratch(docs.sparkSession) as save:
+            return settled(encode_decode(save(docs.select("doc_id", "text")), ranks_path, pattern, digests, from_files=True))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def assemble(key, left, right):

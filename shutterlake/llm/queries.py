@@ -77,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
-    return bpe.encode_decode(_read(spark, sf_dir, "documents"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN, digests=True)
+    return bpe.encode_decode(_read(spark, sf_dir, "documents"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN, digests=True, from_files=True)
 
 
 QUERIES = {

@@ -46,3 +46,12 @@ def test_repeated_blocks(spark):
 
 def test_empty_table(spark):
     assert bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string"), PATH, public.PATTERN).count() == 0
+
+
+def test_rows_in_another_order_each_time(spark):
+    from pyspark.sql import functions as F
+
+    texts = [f"text {i} of {i * 7919 % 1009}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).orderBy(F.rand())
+    got = {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe.encode_decode(docs, PATH, public.PATTERN).collect()}
+    assert got == dict(enumerate(texts))
