@@ -264,8 +264,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         equal = save(_elsewhere(shared, ["u1", "u2"])).withColumn("whole", F.lit(True))
         judged = save(shared.join(equal, ["u1", "u2"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))))
         open_ones = judged.where("NOT whole")
-        alike = judged.where("whole").join(open_ones.select("name").distinct(), "name", "left_semi")
-        one_each = alike.groupBy("u1", "u2").agg(F.min(F.struct("_id", "_rk", "s1", "s2", "p", "n")).alias("x")).select("x.*")
+        # equal stretches have equal names: they collapse before the join by name
+        alike = judged.where("whole").groupBy("name", "u1", "u2").agg(F.min(F.struct("_id", "_rk", "s1", "s2", "p", "n")).alias("x"))
+        one_each = alike.join(save(open_ones.select("name").distinct()), "name", "left_semi").select("x.*")
         look = open_ones.select("_id", "_rk", "s1", "s2", "p", "n").unionByName(one_each)
         look = look.groupBy("_id", "_rk", "s1", "s2").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
         # Rows that repeat id and text would bring their spans twice; one is enough.
