@@ -225,18 +225,19 @@ def _least_connected(near: np.ndarray) -> np.ndarray:
     return least
 
 
-def matched_nodes(leaves: DataFrame, shorter: int, few: int) -> DataFrame:
-    """``leaves`` (cls, size, tree, label, tail) to cls, size, tree, node: the
-    node at which a class is matched in a tree, if other classes share it. That
-    is the shortest prefix whose node has at most ``few`` classes, or else the
-    longest. Classes that share the longest prefix of a tree always share a node."""
+def matched_nodes(leaves: DataFrame, shorter: int, few: int, save) -> DataFrame:
+    """``leaves`` (cls, size, tree, label, tail, and _n: the classes that share
+    tree and label) to cls, size, tree, node: the node at which a class is
+    matched in a tree, if other classes share it. That is the shortest prefix
+    whose node has at most ``few`` classes, or else the longest. Classes that
+    share the longest prefix of a tree always share a node."""
     at, by, found = leaves, ["tree", "label"], None
     for level in range(shorter + 1):
         if level:
-            at = at.withColumn(f"t{level}", F.shiftrightunsigned("tail", 16 * (shorter - level)).bitwiseAND(0xFFFF))
+            at = at.drop("_n").withColumn(f"t{level}", F.shiftrightunsigned("tail", 16 * (shorter - level)).bitwiseAND(0xFFFF))
             by = [*by, f"t{level}"]
-        counted = at.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        at = at.drop("_n").join(counted, by)
+            # stored, so that adaptive execution can split the paths of a large node
+            at = at.join(save(at.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")), by)
         ends = at if level == shorter else at.where(F.col("_n") <= few)
         node = ends.select("cls", "size", "tree", F.xxhash64(F.lit(level), *by).alias("node"))
         found = node if found is None else found.unionByName(node)
@@ -250,9 +251,9 @@ def forest_links(classes: DataFrame, docs: DataFrame, threshold: float, shorter:
     paths = F.posexplode(F.arrays_zip("labels", "tails")).alias("tree", "path")
     leaves = classes.select("cls", "size", paths).select("cls", "size", "tree", F.col("path.labels").alias("label"), F.col("path.tails").alias("tail"))
     # paths of a node that holds one class in every level go first; what is left is small and kept in the order of the tries
-    shared = leaves.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    shared = save(leaves.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     leaves = save(leaves.join(shared, ["tree", "label"]).sortWithinPartitions("tree", "label", "tail"))
-    matched = save(matched_nodes(leaves, shorter, block))
+    matched = save(matched_nodes(leaves, shorter, block, save))
     member = F.xxhash64("cls")
     nodes = matched.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 20)).alias("s"))
     first = nodes.groupBy("n", "x", "s").agg(F.min("tree").alias("tree"))  # same members, several trees
