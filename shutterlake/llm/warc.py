@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -131,6 +132,19 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return facts.join(last, ["digest", "size"], "left").select("_pid", "digest", target.alias("refers_to"))
 
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """``rows`` with each payload as a zstd frame: about a fifth less to shuffle than
+    the shuffle's own compression leaves."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            bodies = pa.array((press.compress(x.as_buffer()) for x in batch.column("payload")), pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("payload"), "payload", bodies)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as WARC files, each one gzip stream,
     into ``folder`` and gives file and records of each.
@@ -144,7 +158,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "size": F.octet_length("payload")})
     decided = revisits(rows, least_bytes)
     # the join's own partitions become the files: html is shuffled once
-    dealt = rows.join(decided.hint("shuffle_hash"), ["_pid", "digest"]).sortWithinPartitions("_pid", "digest")
+    dealt = compressed(rows.drop("size")).join(decided.hint("shuffle_hash"), ["_pid", "digest"]).sortWithinPartitions("_pid", "digest")
 
     def run(batches):
         from pyspark import TaskContext
@@ -158,7 +172,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
 
         def fill(out):
             nonlocal n
-            gz = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            gz, frames = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), zstandard.ZstdDecompressor()
 
             def rest():
                 yield first
@@ -166,7 +180,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
 
             for batch in rest():
                 for row in zip(*(batch.column(c).to_pylist() if c != "payload" else batch.column(c) for c in ("page_id", "url", "digest", "payload", "refers_to"))):
-                    out.write(gz.compress(record(row[0], row[1], row[2], row[3].as_py(), row[4])))
+                    out.write(gz.compress(record(row[0], row[1], row[2], frames.decompress(row[3].as_buffer()), row[4])))
                     n += 1
             out.write(gz.flush())
 
