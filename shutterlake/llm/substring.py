@@ -138,8 +138,9 @@ def stretches(hashed: np.ndarray, first: np.ndarray, window: int = WINDOW, margi
 
 
 def find_stretches(docs: DataFrame, window: int) -> DataFrame:
-    """Per text one row with name null and n its number of words, and a row for
-    each stretch: name, p (first window), n (windows), u1, u2 (hashes of its words)."""
+    """Per row of ``docs`` one with name null and n its number of words, and one
+    for each stretch: name, p (first window), n (windows), u1, u2 (hashes of its
+    words). Stretches are known by their text (s1, s2); their _id and _rk are null."""
 
     def run(batches):
         for batch in batches:
@@ -161,8 +162,10 @@ def find_stretches(docs: DataFrame, window: int) -> DataFrame:
                     np.concatenate([gap, u1]),
                     np.concatenate([gap, u2]),
                 ]
-                names = pa.array(np.concatenate([gap, A.signed(name)])[order], mask=(np.arange(len(row)) < lone)[order])
-                keys = [batch.column(c).slice(i, j - i).take(pa.array(row[order])) for c in ("_id", "_rk")]
+                of_text = (np.arange(len(row)) < lone)[order]
+                names = pa.array(np.concatenate([gap, A.signed(name)])[order], mask=of_text)
+                own = pa.array(row[order], mask=~of_text)
+                keys = [batch.column(c).slice(i, j - i).take(own) for c in ("_id", "_rk")]
                 yield pa.record_batch(
                     [*keys, pa.array(s1[row[order]]), pa.array(s2[row[order]]), names, *(pa.array(c[order]) for c in columns)],
                     ["_id", "_rk", "s1", "s2", "name", "p", "n", "u1", "u2"],
@@ -173,7 +176,7 @@ def find_stretches(docs: DataFrame, window: int) -> DataFrame:
 
 def window_hashes(docs: DataFrame, window: int) -> DataFrame:
     """A row per window of the stretches in ``spans`` (array of p, n): its words'
-    hashes h1, h2 and its place p."""
+    hashes h1, h2 and its place s1, s2, p."""
 
     def run(batches):
         for batch in batches:
@@ -191,10 +194,10 @@ def window_hashes(docs: DataFrame, window: int) -> DataFrame:
                 for a in range(0, len(p), 100_000):
                     r, q = row[a : a + 100_000], p[a : a + 100_000]
                     h1, h2 = rolling.of(first[r] + q, first[r] + q + window)
-                    keys = [batch.column(c).slice(i, j - i).take(pa.array(r)) for c in ("_id", "_rk", "s1", "s2")]
-                    yield pa.record_batch([*keys, pa.array(q.astype(np.int32)), pa.array(A.signed(h1)), pa.array(A.signed(h2))], ["_id", "_rk", "s1", "s2", "p", "h1", "h2"])
+                    keys = [batch.column(c).slice(i, j - i).take(pa.array(r)) for c in ("s1", "s2")]
+                    yield pa.record_batch([*keys, pa.array(q.astype(np.int32)), pa.array(A.signed(h1)), pa.array(A.signed(h2))], ["s1", "s2", "p", "h1", "h2"])
 
-    return docs.mapInArrow(run, "_id long, _rk long, s1 long, s2 long, p int, h1 long, h2 long")
+    return docs.mapInArrow(run, "s1 long, s2 long, p int, h1 long, h2 long")
 
 
 def cut(docs: DataFrame, kinds: str, keep: list[str]) -> DataFrame:
@@ -255,9 +258,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     with scratch(docs.sparkSession) as save:
         found = save(find_stretches(texts, window))
         whole = found.where(f"name IS NULL AND n >= {window}").select("_id", "_rk", "s1", "s2", "n")
-        copies = whole.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s1", "s2")
-        of_copies = whole.join(copies, ["s1", "s2"], "left_semi").select("_id", "_rk", F.lit(0).alias("p"), "n")
-        led = found.where("name IS NOT NULL")
+        # texts that repeat go as a whole; their stretches only tell about others
+        by_text = save(whole.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("_id", "_rk")).alias("one")))
+        of_copies = whole.join(by_text.where("k > 1").select("s1", "s2"), ["s1", "s2"], "left_semi").select("_id", "_rk", F.array(F.struct(F.lit(0).alias("p"), "n")).alias("spans"))
+        led = found.where("name IS NOT NULL").drop("_id", "_rk")
         # Keys are stored before they are joined: then the rows of a key that many texts
         # share are a side of the join by themselves, which adaptive execution splits.
         shared = save(led.join(save(_elsewhere(led, ["name"])), "name", "left_semi"))
@@ -265,16 +269,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         judged = save(shared.join(equal, ["u1", "u2"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))))
         open_ones = judged.where("NOT whole")
         # equal stretches have equal names: they collapse before the join by name
-        alike = judged.where("whole").groupBy("name", "u1", "u2").agg(F.min(F.struct("_id", "_rk", "s1", "s2", "p", "n")).alias("x"))
+        alike = judged.where("whole").groupBy("name", "u1", "u2").agg(F.min(F.struct("s1", "s2", "p", "n")).alias("x"))
         one_each = alike.join(save(open_ones.select("name").distinct()), "name", "left_semi").select("x.*")
-        look = open_ones.select("_id", "_rk", "s1", "s2", "p", "n").unionByName(one_each)
-        look = look.groupBy("_id", "_rk", "s1", "s2").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
-        # Rows that repeat id and text would bring their spans twice; one is enough.
+        look = open_ones.select("s1", "s2", "p", "n").unionByName(one_each)
+        look = look.groupBy("s1", "s2").agg(F.collect_set(F.struct("p", "n")).alias("spans")).join(by_text, ["s1", "s2"]).select("one.*", "s1", "s2", "spans")
         windows = save(window_hashes(texts.join(look.hint("shuffle_hash"), ["_id", "_rk"]), window))
-        twice = windows.join(save(_elsewhere(windows, ["h1", "h2"])), ["h1", "h2"], "left_semi").select("_id", "_rk", "p", F.lit(window).alias("n"))
-        settled_ones = judged.where("whole").select("_id", "_rk", "p", (F.col("n") + F.lit(window - 1)).alias("n"))
-        every = of_copies.unionByName(settled_ones).unionByName(twice)
-        return settled(every.groupBy("_id", "_rk").agg(F.collect_set(F.struct(F.col("p").cast("int"), F.col("n").cast("int"))).alias("spans")))
+        twice = windows.join(save(_elsewhere(windows, ["h1", "h2"])), ["h1", "h2"], "left_semi").select("s1", "s2", "p", F.lit(window).alias("n"))
+        settled_ones = judged.where("whole").select("s1", "s2", "p", (F.col("n") + F.lit(window - 1)).alias("n"))
+        every = settled_ones.unionByName(twice).groupBy("s1", "s2").agg(F.collect_set(F.struct(F.col("p").cast("int").alias("p"), F.col("n").cast("int").alias("n"))).alias("spans"))
+        of_others = every.join(by_text.where("k = 1"), ["s1", "s2"]).select("one.*", "spans")
+        return settled(of_copies.distinct().unionByName(of_others))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
