@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, langid, ngram_join, packing, substring, syncmers, toxicity, urlrules, warc
+from . import bpe, exact, langid, merkle, ngram_join, packing, quality, substring, syncmers, toxicity, trie, urlrules, warc
 from .shared import remove, settled, shared_dir
 
 
@@ -80,10 +80,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_read(spark, sf_dir, "documents"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN, digests=True, from_files=True)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    without_breaks = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.document_manifest(_read(spark, sf_dir, "documents"), without_breaks)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_best_fit_packing, op3_toxicity, op4_warc, op5_language_id,
-        op6_fingerprints, op7_substring_dedup, op8_exact_dedup, op9_url_rules, op10_byte_bpe, pipeline,
+        op6_fingerprints, op7_substring_dedup, op8_exact_dedup, op9_url_rules, op10_byte_bpe,
+        op11_quality, op12_conversation_trie, op13_merkle_manifest, pipeline,
     )
 }
