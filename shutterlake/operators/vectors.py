@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
+from . import angles
 from .duplicates import group_numbers
-from .graph import greedy_leaders
 
 
 def centroids(vectors: DataFrame, by: str = "person_id", vector: str = "embedding") -> DataFrame:
@@ -40,44 +38,21 @@ def nearest(vectors: DataFrame, targets: DataFrame, threshold: float, strict: bo
     return out.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 
-def similar_vectors(vectors: DataFrame, threshold: float, key: str = "id", block: int = 1024) -> DataFrame:
+def similar_vectors(vectors: DataFrame, threshold: float, key: str = "id", block: int = angles.BLOCK) -> DataFrame:
     """``(a, b, similarity)`` for all pairs a < b with a cosine of at least ``threshold``.
 
-    Rows are dealt into blocks of about ``block``, and each pair of blocks is one
-    unit of work, keyed by both numbers, in which one matrix product gives all
-    cosines; only pairs above the threshold leave. Vectors are of one length; a
-    zero vector is like none.
+    Vectors are dealt into blocks; each pair of blocks that the angle between
+    their pivots does not rule out is one unit of work, in which one matrix
+    product gives all cosines; only pairs above the threshold leave. Vectors are
+    of one length; a zero vector is like none.
     """
-    v = vectors.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias("id"), "embedding")
-    blocks = max(1, -(-v.count() // block))
-    v = v.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    seats = v.withColumn("_o", other).select("id", "embedding", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("_b") > F.col("_o")).alias("right"))
-
-    def pairs(key, rows):
-        rows = rows.combine_chunks()
-        ids, side = rows.column("id").to_numpy(), rows.column("right").to_numpy(zero_copy_only=False)
-        x = rows.column("embedding").combine_chunks()
-        x = np.asarray(x.flatten(), np.float64).reshape(len(ids), -1)
-        norm = np.sqrt((x * x).sum(axis=1))
-        x = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
-        alone = key[0].as_py() == key[1].as_py()
-        left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(~side), np.flatnonzero(side))
-        like = x[left] @ x[right].T
-        r, c = np.nonzero(like >= threshold)
-        a, b, s = ids[left[r]], ids[right[c]], like[r, c]
-        keep = a < b if alone else np.ones(len(a), bool)
-        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": np.minimum(s, 1.0)[keep]})
-
-    return seats.groupBy("i", "j").applyInArrow(pairs, "a long, b long, similarity double")
+    return angles.near_pairs(angles.blocks(vectors, threshold, key, block), threshold)
 
 
 def leader_clusters(vectors: DataFrame, threshold: float = 0.6, key: str = "id") -> DataFrame:
     """``(id, leader)``: in order of id, each free vector leads and takes all
     free ones at least ``threshold`` alike."""
-    edges = similar_vectors(vectors, threshold, key).select("a", "b")
-    nodes = vectors.where("embedding IS NOT NULL").select(F.col(key).alias("id"), F.col(key).alias("rank"))
-    return greedy_leaders(nodes, edges)
+    return angles.leader_clusters(vectors, threshold, key)
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:

@@ -52,6 +52,53 @@ def activity_sessions(spark, sf_dir):
     return X.activity_sessions(view(spark, sf_dir, "photos_v"), ["folder_id"]).withColumn("photo_ids", F.array_join(F.col("photo_ids").cast("array<string>"), ","))
 
 
+#: Photos of all folders interleave here, so one order over the library needs a wider reach and a shorter pause than one folder.
+_REACH_KM, _PAUSE_MINUTES = 6000, 15
+_LIBRARY_TRIPS = f"""WITH p AS (SELECT *, lag(date_taken) OVER w AS d0, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0 FROM photos_v WHERE date_taken IS NOT NULL AND lat IS NOT NULL
+        WINDOW w AS (ORDER BY date_taken, id)),
+    k AS (SELECT *, {_km("lat0", "lon0")} AS km FROM p),
+    f AS (SELECT *, CASE WHEN d0 IS NULL OR date_taken - d0 > INTERVAL 3 DAY OR km > {_REACH_KM} THEN 1 ELSE 0 END AS starts FROM k),
+    s AS (SELECT *, sum(starts) OVER (ORDER BY date_taken, id)::BIGINT AS trip FROM f),
+    t AS (SELECT *, CASE WHEN starts = 0 THEN km END AS step_km FROM s QUALIFY count(*) OVER (PARTITION BY trip) >= 3)"""
+
+
+def _library_trips(spark, sf_dir):
+    return X.library_trips(view(spark, sf_dir, "photos_v").select("id", "date_taken", "lat", "lon", "ext"), max_km=_REACH_KM)
+
+
+@query(f"{_LIBRARY_TRIPS} SELECT id, trip, round(step_km, 3) AS step_km FROM t")
+def trip_sessions_library(spark, sf_dir):
+    """Trips over one order of all photos, with the distance to the photo before."""
+    return _library_trips(spark, sf_dir).select("id", "trip", F.round("step_km", 3).alias("step_km"))
+
+
+@query(f"""{_LIBRARY_TRIPS} SELECT trip, min(date_taken) AS start_date, max(date_taken) AS end_date, arg_min(lat, (date_taken, id)) AS start_lat, arg_min(lon, (date_taken, id)) AS start_lon,
+    arg_max(lat, (date_taken, id)) AS end_lat, arg_max(lon, (date_taken, id)) AS end_lon, arg_min(id, (date_taken, id)) AS cover_photo_id, count(*) AS photo_count,
+    count(*) FILTER (ext IN ('.mp4', '.mov')) AS video_count, count(DISTINCT (round_even(lat, 2), round_even(lon, 2))) AS place_count, round_even(coalesce(sum(step_km), 0), 1) AS distance_km FROM t GROUP BY 1""")
+def trip_summary_library(spark, sf_dir):
+    return X.trip_summary(_library_trips(spark, sf_dir), [])
+
+
+_LIBRARY_ACTIVITIES = f"""WITH p AS (SELECT id, {EFF} AS eff, lag({EFF}) OVER (ORDER BY {EFF}, id) AS e0 FROM photos_v),
+    s AS (SELECT *, sum(CASE WHEN e0 IS NULL OR eff - e0 > INTERVAL {_PAUSE_MINUTES} MINUTE THEN 1 ELSE 0 END) OVER (ORDER BY eff, id)::BIGINT AS session FROM p),
+    t AS (SELECT * FROM s QUALIFY count(*) OVER (PARTITION BY session) >= 3)"""
+
+
+def _library_activities(spark, sf_dir):
+    return X.library_activities(view(spark, sf_dir, "photos_v").select("id", "date_taken", "modified_utc"), _PAUSE_MINUTES / 60)
+
+
+@query(f"{_LIBRARY_ACTIVITIES} SELECT id, session FROM t")
+def activity_members_library(spark, sf_dir):
+    return _library_activities(spark, sf_dir).select("id", "session")
+
+
+@query(f"{_LIBRARY_ACTIVITIES} SELECT session, min(eff) AS date_start, max(eff) AS date_end, count(*) AS n, arg_min(id, (eff, id)) AS first_id, arg_max(id, (eff, id)) AS last_id FROM t GROUP BY 1")
+def activity_sessions_library(spark, sf_dir):
+    """Activities over one order of all photos."""
+    return X.activity_summary(_library_activities(spark, sf_dir))
+
+
 @query("""WITH RECURSIVE e AS (SELECT id, folder_id, modified_utc AS ts FROM photos_v),
     k(folder_id, ts, id) AS (SELECT folder_id, min(ts), arg_min(id, (ts, id)) FROM e GROUP BY 1 UNION ALL
         SELECT * FROM (SELECT e.folder_id, min(e.ts), arg_min(e.id, (e.ts, e.id)) FROM k JOIN e ON e.folder_id = k.folder_id AND e.ts >= k.ts + INTERVAL 6 HOUR GROUP BY e.folder_id))

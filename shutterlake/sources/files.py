@@ -9,7 +9,8 @@ from ..functions import scalars as S
 # Extensions that are catalogued.
 MEDIA = (
     ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".heic", ".heif",
-    ".mp4", ".avi", ".mov", ".wmv", ".mkv", ".webm", ".m4v", ".3gp",
+    ".raw", ".cr2", ".nef", ".arw", ".dng", ".orf", ".rw2", ".pef", ".sr2",
+    ".mp4", ".avi", ".mov", ".wmv", ".mkv", ".flv", ".webm", ".m4v", ".mpg", ".mpeg", ".3gp",
 )
 
 

@@ -113,6 +113,28 @@ def drained_complete(stream: DataFrame) -> DataFrame:
     return _stored(spark, run)
 
 
+def in_batches(spark: SparkSession, rows: DataFrame, by: str, files: int):
+    """Gives ``run(use)``: ``use(stream, folder)`` over ``rows`` as a stream of ``files``
+    micro-batches in the order of ``by``; its result is settled and the folder goes."""
+
+    def run(use) -> DataFrame:
+        def filled(at):
+            dealt = settled(rows.repartitionByRange(files, by).withColumn("_batch", F.spark_partition_id()))
+            for k in range(files):  # one after the other: a stream takes files by their age
+                dealt.where(F.col("_batch") == k).drop("_batch").write.mode("append").parquet(f"{at}/in")
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+            return use(stream, at)
+
+        return _stored(spark, filled)
+
+    return run
+
+
+def run_batches(stream: DataFrame, write, log: str) -> None:
+    """All input there is through ``write(batch, batch_id)``."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+
 def batch_writer(path: str):
     """A ``foreachBatch`` function that commits each batch as a whole into
     ``path``: a batch that runs again replaces what it wrote before."""
