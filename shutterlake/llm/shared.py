@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,5 +59,14 @@ def scratch(spark: SparkSession):
             remove(spark, path)
 
 
+def veiled(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str], list[Column]]:
+    """``docs`` with the columns ``keep`` under names that no operator uses inside,
+    these names, and the columns that give them back their own."""
+    names = {c: f"_kept_{i}" for i, c in enumerate(keep)}
+    others = [c for c in docs.columns if c not in names]
+    shown = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), *(F.col(f"`{c}`") for c in others))
+    return shown, list(names.values()), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,6 +1,8 @@
 import itertools
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.llm import urlrules as U
@@ -51,18 +53,33 @@ def brute_rules(rows, support, confidence):
     return {(s, v): c for (s, v), c in out.items() if not any(w == v and set(t) < set(s) and d >= c for (t, w), d in out.items())}
 
 
-def test_mining_and_matching_equal_brute_force(spark):
-    rng = random.Random(2)
+def spelled(rules, members):
+    """The rules over single tokens: one member for each item."""
+    held = {}
+    for r in members.collect():
+        held.setdefault(r["item"], []).append(r["token"])
+    return {(tuple(sorted(c)), r["verdict"]): r["confidence"] for r in rules.collect() for c in itertools.product(*(held[t] for t in r["tokens"]))}
+
+
+def random_rows(seed, n=80, more=()):
+    rng = random.Random(seed)
     rows = []
-    for _ in range(80):
+    for _ in range(n):
         r = [t for t in "abcd" if rng.random() < 0.5]
+        r += [t + x for t in r for x in more]  # always together with t
         rows.append((r, "block" if ("a" in r and "b" in r) or rng.random() < 0.1 else "allow"))
+    return rows
+
+
+@pytest.mark.parametrize("seed,more", [(2, ()), (3, ("1",)), (4, ())])
+def test_mining_and_matching_equal_brute_force(spark, seed, more):
+    rows = random_rows(seed, more=more) + ([(["sure", "a"], "block")] * 9 if seed == 4 else [])
     frame = spark.createDataFrame(rows, "tokens array<string>, verdict string")
-    mined = U.mine_rules(frame, 0.05, 0.7)
+    mined, members = U.mine_rules(frame, 0.05, 0.7)
     want = brute_rules(rows, 0.05, 0.7)
-    assert {(tuple(r["tokens"]), r["verdict"]): r["confidence"] for r in mined.collect()} == want
+    assert spelled(mined, members) == want
     sets = frame.select(F.array_sort("tokens").alias("tokens")).distinct()
-    got = {tuple(r["tokens"]): r["mined_verdict"] for r in U.match_rules(sets, mined).collect()}
+    got = {tuple(r["tokens"]): r["mined_verdict"] for r in U.match_rules(sets, mined, members).collect()}
     for r, _ in rows:
         sure = {v: max([c for (s, w), c in want.items() if w == v and set(s) <= set(r)], default=-1) for v in ("allow", "block")}
         if max(sure.values()) < 0:
@@ -71,6 +88,53 @@ def test_mining_and_matching_equal_brute_force(spark):
             assert got[tuple(sorted(r))] == max(sure, key=sure.get)
 
 
+def test_verdicts_of_urls_without_a_rule_equal_brute_force(spark):
+    rng = random.Random(7)
+    urls = []
+    for k in range(160):
+        host = rng.choice(["a.net", "example.net", "example.com", "b.org", "free.info", "other.io"])
+        path = "/".join(["", rng.choice(["en", "de", "fr"]), rng.choice(["shop", "news"])])
+        urls.append(f"http://{host}{path}?{rng.choice(['id=1', 'ref=2&id=3', 'q'])}")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    token = {r["page_id"]: list(r["t"]) for r in pages.select("page_id", U.url_tokens(F.col("url"), U.host_of(F.col("url")), U.path_of(F.col("url"))).alias("t")).collect()}
+    got = {r["page_id"]: r for r in U.judge_urls(pages).collect()}
+    labelled = [(token[k], got[k]["verdict"]) for k in got if got[k]["rule"]]
+    assert 30 < len(labelled) < 160
+    want = brute_rules(labelled, U.MIN_SUPPORT, U.MIN_CONFIDENCE)
+    told = 0
+    for k in got:
+        if not got[k]["rule"]:
+            sure = {v: max([c for (s, w), c in want.items() if w == v and set(s) <= set(token[k])], default=-1) for v in ("allow", "block")}
+            if max(sure.values()) < 0:
+                assert got[k]["verdict"] == U.DEFAULT and got[k]["mined"] is None
+            elif sure["allow"] != sure["block"]:
+                told += 1
+                assert got[k]["verdict"] == max(sure, key=sure.get), urls[k]
+    assert told > 10
+
+
+def test_forty_shared_parameters(spark):
+    rng = random.Random(9)
+    shared = "&".join(f"p{k}={k}" for k in range(40))
+    rows = []
+    for k in range(300):
+        host = rng.choice(["a.net", "example.com", "example.net", "b.org", "else.io"])
+        more = "&" + "&".join(f"o{j}=1" for j in range(12)) if k % 3 else ""
+        rows.append((k, f"http://{host}/{rng.choice(['en', 'de', 'fr'])}/x?{shared}{more}"))
+    rows += rows[:20] + [(900, "http://else.io/" + "long/" * 20_000), (901, "http://a.net/?" + "&".join(f"x{k}" for k in range(3000)))]
+    began = time.time()
+    out = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(out) == len(rows) and time.time() - began < 90
+    assert all(r["verdict"] == "block" for r in out if r["host"] == "a.net")
+
+
+def test_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "t", 1, 2, "g"), (2, "http://else.io/x", "t", 1, 2, "g")], "page_id long, url string, tokens string, salt int, _salt int, given string")
+    out = U.judge_urls(pages)
+    assert out.columns == ["page_id", "tokens", "salt", "_salt", "given", "host", "path", "rule", "mined", "verdict"]
+    assert {(r["tokens"], r["salt"], r["_salt"], r["given"]) for r in out.collect()} == {("t", 1, 2, "g")}
+
+
 def test_no_rule_fits_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     assert U.judge_urls(pages).first()["verdict"] == "allow"
