@@ -29,7 +29,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    out = toxicity.score_toxicity(docs, labels)
+    out = toxicity.score_toxicity(docs, labels, from_files=True)
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrays as A
 from .langid import held_out
-from .shared import scratch, settled
+from .shared import scratch, settled, veiled
 
 ORDER = 5
 LOWEST = 3  # below, the classes share their counts
@@ -340,7 +340,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, calibration_rows: int = CA
     return rows.where(~calibrating), rows.where(calibrating)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS, from_files: bool = False) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 where score >= 0.5); text is
     left out.
 
@@ -350,13 +350,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, calibration_rows: int = C
     that calibrate (``calibration_rows`` at most). Null and empty texts have
     features of 0 and get the score these give. Without labels of both classes
     the weights keep their defaults. Repeated rows and ids give repeated results;
-    like-named columns of ``docs`` are replaced; an empty table gives an empty
-    result.
+    columns of ``docs`` named score or predicted are replaced, all others stay;
+    an empty table gives an empty result.
+
+    Texts are read twice and have to come in the same order both times.
+    ``from_files`` says that ``docs`` is read straight from files, with nothing
+    but column choices and filters behind; any others are stored for the run.
     """
     own = ["score", "predicted"]
-    rest = [c for c in docs.columns if c not in [*own, "text", *FEATURES]]
+    rest = [c for c in docs.columns if c not in [*own, "text"]]
     with scratch(docs.sparkSession) as save:
-        counted, calibration = learning_rows(docs, labels, calibration_rows)
+        docs = docs if from_files else save(docs)
+        counted, calibration = learning_rows(docs.select("doc_id", "text"), labels, calibration_rows)
         model = fit(counted, calibration, save)
-        out = _features(docs, model, rest, save)
-    return out.drop(*FEATURES).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        shown, names, back = veiled(docs.select(*rest, "text"), rest)
+        out = _features(shown, model, names, save)
+    return out.select(*back, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

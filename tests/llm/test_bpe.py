@@ -5,6 +5,7 @@ import public_tokenizers as public
 from hypothesis import given, settings, strategies as st
 
 from shutterlake.llm import arrays as A, bpe, pretokens
+from tests.llm.shuffled import shuffled
 
 PATH = public.path("byte_bpe_multi_50k.tiktoken")
 TEXTS = [None, "", "a", "don't it's we'll x're 'sx ''s  a  'd ' s", "\n\n\tx", "日本 語  123abc\r\n", "<|endoftext|>", "l'l'll 'll've ", "é" * 40_000, "same text", "same text", " "]
@@ -49,9 +50,8 @@ def test_empty_table(spark):
 
 
 def test_rows_in_another_order_each_time(spark):
-    from pyspark.sql import functions as F
-
     texts = [f"text {i} of {i * 7919 % 1009}" for i in range(300)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).orderBy(F.rand())
+    docs = shuffled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert docs.collect() != docs.collect()
     got = {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe.encode_decode(docs, PATH, public.PATTERN).collect()}
     assert got == dict(enumerate(texts))

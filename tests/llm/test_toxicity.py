@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from shutterlake.llm import arrays as A, toxicity as X
+from tests.llm.shuffled import shuffled
 
 BAD = ["blarg", "snorf", "zquint"]
 
@@ -161,3 +162,16 @@ def test_unseen_words_back_off_at_any_size(spark):
     assert model.byte_ratios("nopqrst").sum() == pytest.approx(0, abs=0.3)
     (n,) = [r["n"] for r in model.count[X.ORDER].selectExpr("sum(n0 + n1) AS n").collect()]
     assert n == sum(map(sum, counts.values())) and model.count[X.ORDER].count() == len(counts)
+
+
+def test_rows_in_another_order_each_time_and_clashing_names(spark):
+    docs, labels = corpus(400)
+    plain = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    named = spark.createDataFrame([(i, t, 1.5, "mine", 2, 0.5) for i, t, _ in docs], "doc_id long, text string, f0 double, _block string, f2 int, score double")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = X.score_toxicity(shuffled(named), marks)
+    assert out.columns == ["doc_id", "f0", "_block", "f2", "score", "predicted"]
+    rows = out.collect()
+    assert {(r["f0"], r["_block"], r["f2"]) for r in rows} == {(1.5, "mine", 2)}
+    want = {r["doc_id"]: r["score"] for r in X.score_toxicity(plain, marks).collect()}
+    assert {r["doc_id"] for r in rows} == set(want) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in rows)
