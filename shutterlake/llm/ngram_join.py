@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import arrays as A
 from .components import connected
-from .shared import partitions, scratch, settled
+from .shared import partitions, scratch, settled, veiled
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -276,30 +276,14 @@ def forest_links(classes: DataFrame, docs: DataFrame, threshold: float, shorter:
     return counted, met.select("cls", "least").where("cls != least").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL, block: int = BLOCK
+def _near(
+    known: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL, block: int = BLOCK
 ) -> DataFrame:
-    """Per row of ``docs`` with its columns besides text: class_id (smallest
-    doc_id of the group that links connect), copy_of (smallest doc_id with the
-    same word sequence), n_copies (rows with that sequence, itself included),
-    n_links (other word sequences with a similarity of ``threshold`` or more).
-
-    Words are runs of other characters than ``[\\x20\\x09-\\x0D]``, compared as
-    they are. Texts of one to four words have one shingle. Null, empty and
-    blank texts have none: they form one class of copies but get no links, and
-    each keeps its own class_id. A row without doc_id is no one's partner: its
-    class_id and copy_of are null. doc_id has to be a whole number; rows with
-    the same doc_id should have the same text (otherwise one of the texts
-    stands for them). Pairs at the threshold are found with probability
-    ``target`` at least, closer ones and those in small nodes more surely; what is found is verified exactly on
-    64-bit shingle hashes. An empty table gives an empty result.
-    """
+    """doc_id, class_id, copy_of, n_copies, n_links of ``known`` (doc_id, text), whose
+    doc_ids are whole numbers and have one text each."""
     length = matched_depth(trees, depth, threshold, target)
     shorter = max(0, min(SHORTER, length - 1))
-    own = ["class_id", "copy_of", "n_copies", "n_links"]
-    rest = [c for c in docs.columns if c not in [*own, "text"]]
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with scratch(docs.sparkSession) as save:
+    with scratch(known.sparkSession) as save:
         drawn = save(sketches(known, trees, length, shorter))
         copies = drawn.groupBy("s1", "s2").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("n_copies"))
         member = save(drawn.select("doc_id", "s1", "s2", F.col("size") == 0).toDF("doc_id", "s1", "s2", "bare").join(copies, ["s1", "s2"]).drop("s1", "s2"))
@@ -307,7 +291,7 @@ def near_duplicates(
         classes = save(drawn.withColumnRenamed("doc_id", "cls").join(heads, "cls", "left_semi").dropDuplicates(["cls"]).where("size > 0").select("cls", "size", "labels", "tails"))
         counted, edges = forest_links(classes, known, threshold, shorter, block, save)
         groups = connected(edges.toDF("a", "b"))
-        found = settled(
+        return settled(
             member.dropDuplicates(["doc_id"])
             .join(counted, "cls", "left")
             .join(groups.toDF("cls", "group"), "cls", "left")
@@ -319,7 +303,47 @@ def near_duplicates(
                 F.coalesce("n_links", F.lit(0)).alias("n_links"),
             )
         )
-    return docs.select(*rest).join(found, "doc_id", "left").select(*rest, *own)
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """Per row of ``docs`` with its columns besides text: class_id (smallest
+    doc_id of the group that links connect), copy_of (smallest doc_id with the
+    same word sequence), n_copies (rows with that sequence, itself included),
+    n_links (other word sequences with a similarity of ``threshold`` or more).
+
+    Words are runs of other characters than ``[\\x20\\x09-\\x0D]``, compared as
+    they are. Texts of one to four words have one shingle. Null, empty and
+    blank texts have none: they form one class of copies but get no links, and
+    each keeps its own class_id. A row without doc_id is no one's partner: its
+    class_id and copy_of are null. doc_id has to be a whole number; where rows
+    share it but not their text, each text is judged by itself. Options are
+    those of ``_near``: threshold, trees, depth, target, block. Pairs at the
+    threshold are found with probability ``target`` at least, closer ones and
+    those in small nodes more surely; what is found is verified exactly on
+    64-bit shingle hashes. An empty table gives an empty result.
+    """
+    own = ["class_id", "copy_of", "n_copies", "n_links"]
+    rest = [c for c in docs.columns if c not in [*own, "text"]]
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    if known.groupBy("doc_id").agg((F.min(text) != F.max(text)).alias("several")).where("several").isEmpty():
+        found = _near(known, **options)
+        shown, names, back = veiled(docs.select(*rest), rest)
+        return shown.join(found, F.col(names[rest.index("doc_id")]) == F.col("doc_id"), "left").select(*back, *own)
+    found = settled(_near(_by_row(known), **options).withColumnRenamed("doc_id", "_row"))
+    # a class, of links or of copies, goes by its smallest doc_id
+    ids = settled(found.join(_by_row(known).select(F.col("doc_id").alias("_row"), F.col("own").alias("_id")).distinct(), "_row"))
+    linked = ids.groupBy("class_id").agg(F.min("_id").alias("_class"))
+    copied = ids.groupBy("copy_of").agg(F.min("_id").alias("_copy"))
+    named = ids.join(linked, "class_id").join(copied, "copy_of").select("_row", F.col("_class").alias("class_id"), F.col("_copy").alias("copy_of"), "n_copies", "n_links")
+    shown, names, back = veiled(docs.select(*rest, "text"), rest)
+    row = F.when(F.col(names[rest.index("doc_id")]).isNotNull(), F.xxhash64(F.col(names[rest.index("doc_id")]).cast("long"), F.coalesce("text", F.lit(""))))
+    return shown.withColumn("_row", row).join(named, "_row", "left").select(*back, *own)
+
+
+def _by_row(known: DataFrame) -> DataFrame:
+    """``known`` with a number for each doc_id and text as doc_id, and its doc_id as own."""
+    return known.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("doc_id"), F.col("doc_id").alias("own"), "text")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -329,7 +353,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     go together. Rows without doc_id stay."""
     row = F.xxhash64("doc_id", "text")
     known = docs.where(F.col("doc_id").isNotNull()).select(row.alias("doc_id"), F.col("doc_id").alias("own"), "text")
-    found = settled(near_duplicates(known, **options).select(F.col("doc_id").alias("_row"), "own", "class_id"))
+    near = _near(known.select("doc_id", "text"), **options).select(F.col("doc_id").alias("_row"), "class_id")
+    found = settled(known.select(F.col("doc_id").alias("_row"), "own").distinct().join(near, "_row"))
     first = found.groupBy("class_id").agg(F.min(F.struct("own", "_row")).alias("x")).select("x._row")
     gone = found.join(first, "_row", "left_anti").select("_row")
     return docs.withColumn("_row", row).join(gone, "_row", "left_anti").select(*docs.columns)

@@ -161,3 +161,16 @@ def test_a_large_group_of_variants(spark):
     sets = [shingle_set(t.split(" ")) for _, t in rows]
     total = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
     assert sum(r["n_links"] for r in got) >= N.TARGET_RECALL * 2 * total
+
+
+def test_texts_that_share_an_id_are_not_linked(spark):
+    a, b = ("a" + str(k) for k in range(30)), ("b" + str(k) for k in range(30))
+    a, b = " ".join(a), " ".join(b)
+    rows = [(1, a, "p"), (1, b, "q"), (2, a, "r"), (3, b, "s"), (3, b, "s"), (None, a, "t"), (4, a + " more", "u"), (1, None, "v"), (5, "", "w")]
+    out = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, _row string")).collect()
+    got = {r["_row"]: (r["class_id"], r["copy_of"], r["n_links"]) for r in out}
+    assert len(out) == 9
+    assert got == {"p": (1, 1, 1), "r": (1, 1, 1), "u": (1, 4, 1), "q": (1, 1, 0), "s": (1, 1, 0), "t": (None, None, None), "v": (1, 1, 0), "w": (5, 1, 0)}
+    assert {r["_row"]: r["n_copies"] for r in out} == {"p": 2, "r": 2, "u": 1, "q": 3, "s": 3, "t": None, "v": 2, "w": 2}
+    kept = N.keep_one(spark.createDataFrame([r[:2] for r in rows if r[0]], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], (r["text"] or "")[:1]) for r in kept) == [(1, ""), (1, "a"), (1, "b"), (5, "")]
