@@ -122,14 +122,16 @@ def _finished(folder: str, name: str, fill) -> str:
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pid, digest and refers_to (null for a response) for every distinct pair
+    """pid, digest, same and refers_to (null for a response) for every distinct pair
     of page_id and payload: of equal payloads of at least ``least_bytes`` the
-    largest page_id is the response. Payloads are known by digest and size; a
-    group of copies collapses in each task, and html is not shuffled for it."""
-    facts = pages.select("_pid", "page_id", "digest", "size").distinct()
-    last = facts.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    largest page_id is the response. Payloads are equal if their SHA-256
+    (``same``) and size are; the SHA-1 of the records, for which unequal payloads
+    have been made, decides nothing. A group of copies collapses in each task,
+    and html is not shuffled for it."""
+    facts = pages.select("_pid", "page_id", "digest", "same", "size").distinct()
+    last = facts.where(F.col("size") >= least_bytes).groupBy("same", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
     target = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    return facts.join(last, ["digest", "size"], "left").select("_pid", "digest", target.alias("refers_to"))
+    return facts.join(last, ["same", "size"], "left").select("_pid", "digest", "same", target.alias("refers_to"))
 
 
 def compressed(rows: DataFrame) -> DataFrame:
@@ -155,10 +157,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pid = F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63)))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), pid.alias("_pid"), "url", payload.alias("payload"))
-    rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "size": F.octet_length("payload")})
+    rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "size": F.octet_length("payload"), "same": F.sha2("payload", 256)})
     decided = revisits(rows, least_bytes)
     # the join's own partitions become the files: html is shuffled once
-    dealt = compressed(rows.drop("size")).join(decided.hint("shuffle_hash"), ["_pid", "digest"]).sortWithinPartitions("_pid", "digest")
+    dealt = compressed(rows.drop("size")).join(decided.hint("shuffle_hash"), ["_pid", "digest", "same"]).sortWithinPartitions("_pid", "digest")
 
     def run(batches):
         from pyspark import TaskContext

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import json
 import os
+import random
 
 import pytest
 
@@ -51,3 +52,13 @@ def test_empty_and_null_ids(spark, tmp_path):
     some = spark.createDataFrame([(None, "u", "q"), (7, "u", "q"), (None, "u", "r")], "page_id long, url string, html string")
     got = warc.read_archives(warc.normalise(warc.write_archives(some, f"file://{tmp_path}/o"), f"file://{tmp_path}/p")).collect()
     assert sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in got) == [("7", "response", "None"), ("None", "response", "None"), ("None", "revisit", "7")]
+
+
+def test_very_long_payloads_and_equal_ones_of_many_rows(spark, tmp_path):
+    noise = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz0123456789é", k=9_000_000))
+    rows = [(1, "u", noise), (2, "u", noise), (3, "u", noise[:-1] + "x"), *((10 + k, "u", "same") for k in range(200))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    files = warc.write_archives(pages, f"file://{tmp_path}/mono")
+    got = {r["page_id"]: r for r in warc.read_archives(warc.normalise(files, f"file://{tmp_path}/records")).collect()}
+    assert got[1]["refers_to"] == 2 and bytes(got[2]["payload"]).decode() == noise and bytes(got[3]["payload"]).decode() == rows[2][2]
+    assert [got[10 + k]["refers_to"] for k in range(200)] == [209] * 199 + [None]
