@@ -3,7 +3,8 @@
 A k-mer of bytes is an anchor if the least of its inner s-mers (by hash) stands
 at its start or end, which the k-mer alone decides: the same passage has the
 same anchors in any surroundings. A fingerprint keeps the ``KEPT`` anchors of
-least hash with their places. Two fingerprints are alike as far as their
+least hash with their places (or, if asked, all of them, whatever the length of
+the text: then likeness is exact). Two fingerprints are alike as far as their
 anchors agree and lie at a common shift.
 """
 
@@ -58,9 +59,9 @@ def closed_syncmers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate([row, bare]), np.concatenate([at - offsets[row], np.zeros(len(bare), np.int64)]), np.concatenate([hashed, whole(bare)])
 
 
-def sketches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the least anchors' hashes (32 bits, ascending; filled up with the
-    greatest 64-bit number) and places, each rows x ``KEPT``."""
+def sketches(data: np.ndarray, offsets: np.ndarray, kept: int | None = KEPT) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the ``kept`` least anchors' hashes (all: None; 32 bits, ascending;
+    filled up with the greatest 64-bit number) and places, each rows x kept."""
     row, place, hashed = closed_syncmers(data, offsets)
     hashed = hashed >> A.U64(32)
     order = np.lexsort((place, hashed, row))
@@ -69,9 +70,10 @@ def sketches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         new = np.append(True, (row[1:] != row[:-1]) | (hashed[1:] != hashed[:-1]))
         row, place, hashed = row[new], place[new], hashed[new]
     rank = A.ramp(np.bincount(row, minlength=len(offsets) - 1))
-    keep = rank < KEPT
-    values = np.full((len(offsets) - 1, KEPT), _LAST)
-    places = np.zeros((len(offsets) - 1, KEPT), np.int64)
+    width = kept or int(rank.max(initial=0)) + 1
+    keep = rank < width
+    values = np.full((len(offsets) - 1, width), _LAST)
+    places = np.zeros((len(offsets) - 1, width), np.int64)
     values[row[keep], rank[keep]] = hashed[keep]
     places[row[keep], rank[keep]] = place[keep]
     return values, places
@@ -90,14 +92,15 @@ def as_text(values: np.ndarray, places: np.ndarray) -> pa.Array:
 def from_text(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     """One row's values and places from its fingerprint string."""
     parts = [int(fingerprint[k : k + 16], 16) for k in range(0, len(fingerprint), 16)]
-    values, places = np.full((1, KEPT), _LAST), np.zeros((1, KEPT), np.int64)
+    width = max(KEPT, len(parts))
+    values, places = np.full((1, width), _LAST), np.zeros((1, width), np.int64)
     values[0, : len(parts)] = [p >> 32 for p in parts]
     places[0, : len(parts)] = [p & (2**32 - 1) for p in parts]
     return values, places
 
 
-def likeness(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Per row, of the least anchors of both together the share that both have at
+def likeness(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], kept: int | None = KEPT) -> np.ndarray:
+    """Per row, of the ``kept`` least anchors (all: None) of both together the share that both have at
     a common shift (within ``DRIFT`` bytes); two empty fingerprints: 1."""
     values = np.concatenate([one[0], two[0]], axis=1)
     places = np.concatenate([one[1], two[1]], axis=1)
@@ -107,7 +110,7 @@ def likeness(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarr
     new = real.copy()
     new[:, 1:] &= values[:, 1:] != values[:, :-1]
     rank = np.cumsum(new, axis=1)
-    size = np.minimum(rank[:, -1], KEPT)
+    size = np.minimum(rank[:, -1], kept or rank.shape[1])
     both = np.zeros_like(real)
     both[:, :-1] = real[:, :-1] & (values[:, 1:] == values[:, :-1]) & (rank[:, :-1] <= size[:, None])
     row, column = np.nonzero(both)
@@ -172,7 +175,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     return every.repartitionById(parts, F.col("_bucket")).sortWithinPartitions("_bucket", "extra", "_key", F.xxhash64("text"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, kept: int | None = KEPT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_chars (code points), fingerprint, and of
     its edited text (the last half of its code points replaced by as many first
     ones of the next row by doc_id, or all it has; the last row's next is the
@@ -182,6 +185,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null text counts as empty. A null doc_id comes first; rows of one doc_id
     are ordered by a hash of their texts. Other columns are ignored; an empty
     table gives an empty result.
+
+    ``kept`` anchors of least hash make a fingerprint, whose likeness is an
+    estimate from so many anchors for texts of any length; None keeps all
+    anchors, about one for eight bytes of text, and gives the exact likeness.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -190,11 +197,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         data, offsets = A.flat(table.column("text"))
         rows = table.num_rows - 1
         n, body, ends = _edited(data, offsets, rows)
-        own, edited = sketches(data, offsets), sketches(body, ends)
+        own, edited = sketches(data, offsets, kept), sketches(body, ends, kept)
         head, tail = tuple(x[:-1] for x in own), tuple(x[1:] for x in own)
         digest = [hashlib.sha256(body[a:b].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])]
         out = pa.record_batch(
-            [table.column("doc_id").slice(0, rows), pa.array(n), pa.array(digest, pa.string()), as_text(*head), as_text(*edited), pa.array(likeness(head, edited)), pa.array(likeness(head, tail))],
+            [table.column("doc_id").slice(0, rows), pa.array(n), pa.array(digest, pa.string()), as_text(*head), as_text(*edited), pa.array(likeness(head, edited, kept)), pa.array(likeness(head, tail, kept))],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
         return out.filter(pa.compute.invert(table.column("extra").slice(0, rows)))

@@ -121,3 +121,19 @@ def test_bounds_by_halving(spark):
     for n in range(len(bounds) + 1):
         got = [r[0] for r in rows.select(S._bounds_upto(S.F.col("k"), bounds[:n])).collect()]
         assert got == [sum(b <= k for b in bounds[:n]) for k in keys]
+
+
+def test_all_anchors_give_the_exact_likeness(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join(word() for _ in range(rng.randint(20, 3000))) for _ in range(30)]
+    texts = [t for text in texts for t in (text, text[: len(text) * 3 // 4] + " " + word())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    exact = {r["doc_id"]: r for r in S.fingerprints(docs, kept=None).collect()}
+    near = {r["doc_id"]: r for r in S.fingerprints(docs).collect()}
+    for i, t in enumerate(texts):
+        anchors = {int(exact[i]["fingerprint"][k : k + 8], 16) for k in range(0, len(exact[i]["fingerprint"]), 16)}
+        hashed = S.closed_syncmers(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[2]
+        assert anchors == {int(h) >> 32 for h in hashed}
+    errors = [abs(exact[i][c] - near[i][c]) for i in exact for c in ("near_edited", "near_next")]
+    assert np.mean(errors) < 0.06 and max(errors) < 0.3
