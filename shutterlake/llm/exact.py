@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .shared import partitions, scratch, settled
+from .shared import partitions, scratch, settled, veiled
 
 BUCKET_ENTRIES = 50_000
 SPREAD = 8
@@ -153,8 +153,10 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
     own = ["keep_id", "group_size", "kept", "text_sha256", "bucket"]
     rest = [c for c in docs.columns if c not in [*own, "text"]]
     with scratch(docs.sparkSession) as save:
-        answered = look_up(docs, build_index(docs, save, capacity), rest)
-        return settled(answered.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*rest, *own))
+        shown, names, back = veiled(docs.select(*rest, "text"), rest)
+        answered = look_up(shown, build_index(docs.select("doc_id", "text"), save, capacity), names)
+        kept = F.col(names[rest.index("doc_id")]).eqNullSafe(F.col("keep_id"))
+        return settled(answered.withColumn("kept", kept).select(*back, *own))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

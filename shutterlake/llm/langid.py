@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrays as A
+from .shared import veiled
 
 UNDETERMINED = "und"
 HIDDEN = 8
@@ -196,13 +197,15 @@ def label(docs: DataFrame, network: Network) -> DataFrame:
     an empty result.
     """
     own = ["lang_pred", "score"]
-    rest = [c for c in docs.columns if c not in own]
+    kept = [c for c in docs.columns if c not in own]
+    docs, rest, back = veiled(docs.select(*(F.col(f"`{c}`") for c in kept)), kept)
+    text = rest[kept.index("text")]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
 
     def run(batches):
         names = np.array([*network.labels, UNDETERMINED], object)
         for batch in batches:
-            data, offsets = A.flat(batch.column("text"))
+            data, offsets = A.flat(batch.column(text))
             letter = batch.column("_letter")
             for i, j in A.slices(offsets):
                 some = np.array(letter.slice(i, j - i).to_pylist(), bool)
@@ -214,4 +217,4 @@ def label(docs: DataFrame, network: Network) -> DataFrame:
                     best, score = np.full(j - i, len(names) - 1), np.zeros(j - i)
                 yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in rest), pa.array(names[best], pa.string()), pa.array(score)], [*rest, *own])
 
-    return docs.select(*rest, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*rest, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter")).mapInArrow(run, f"{kinds}, lang_pred string, score double").select(*back, *own)

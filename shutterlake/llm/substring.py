@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrays as A
 from .ngram_join import sequence_hashes
-from .shared import scratch, settled
+from .shared import scratch, settled, veiled
 
 WINDOW = 35
 MARGIN = 10
@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``window`` consecutive words of its text that covers it also starts anywhere
     else, in the same text or another, all judged on the input. Null, empty and
     short texts lose nothing; repeated rows repeat each other. doc_id may be
-    null or repeat. Own columns win over like-named ones. An empty table gives
+    null or repeat. Columns named as the three are replaced. An empty table gives
     an empty result.
     """
     if window < WINDOW:
@@ -297,6 +297,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     own = ["n_words", "n_removed", "kept_text"]
     rest = [c for c in docs.columns if c not in [*own, "text"]]
     spans = repeated_spans(docs.select("doc_id", "text"), window)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    keyed = docs.select(*rest, "text", *_keys(F.col("doc_id"), F.col("text")))
-    return cut(keyed.join(spans.hint("shuffle_hash"), ["_id", "_rk"], "left").drop("_id", "_rk"), kinds, rest)
+    shown, names, back = veiled(docs.select(*(F.col(f"`{c}`") for c in rest), "text"), rest)
+    shown = shown.select("*", *_keys(F.col(names[rest.index("doc_id")]), F.col("text")))
+    kinds = ", ".join(f"`{n}` {shown.schema[n].dataType.simpleString()}" for n in names)
+    return cut(shown.join(spans.hint("shuffle_hash"), ["_id", "_rk"], "left").drop("_id", "_rk"), kinds, names).select(*back, *own)

@@ -92,3 +92,10 @@ def test_index_is_in_key_order_and_bounded(spark, tmp_path):
         load[r["bucket"]] = load.get(r["bucket"], 0) + 1
     assert max(load.values()) <= 100 and len(load) > 20
     assert [r["bucket"] for r in ordered] == sorted(r["bucket"] for r in ordered)
+
+
+def test_clashing_names(spark):
+    rows = [(i, t, "mine", 1, "b") for i, t in ((1, "a b"), (2, "ab"), (3, "c"), (4, None))]
+    out = exact.exact_groups(spark.createDataFrame(rows, "doc_id long, text string, _key string, _norm int, bucket string"))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["_key"], r["_norm"]) for r in out.collect()}
+    assert got == {1: (1, 2, "mine", 1), 2: (1, 2, "mine", 1), 3: (3, 1, "mine", 1), 4: (4, 1, "mine", 1)}

@@ -63,3 +63,46 @@ def test_nothing_to_learn_and_empty(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert L.label(docs, L.fit(docs)).first()["lang_pred"] == "und"
     assert L.label(docs.limit(0), L.fit(docs.limit(0))).count() == 0
+
+
+def one_byte_at_a_time(net, raw):
+    """Position probabilities of one segment by the definition of a gated recurrent unit."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h_n, states = net.p["u"].shape[2], []
+    for way in (0, 1):
+        wx, u, b = (net.p[k][way].astype(float) for k in ("wx", "u", "b"))
+        h, seen = np.zeros(h_n), {}
+        for t in range(len(raw)) if way == 0 else reversed(range(len(raw))):
+            x = wx[:, raw[t]] + b[:, 0]
+            update, reset = sigmoid(x[:h_n] + u[:h_n] @ h), sigmoid(x[h_n : 2 * h_n] + u[h_n : 2 * h_n] @ h)
+            candidate = np.tanh(x[2 * h_n :] + reset * (u[2 * h_n :] @ h))
+            h = update * h + (1 - update) * candidate
+            seen[t] = h
+        states.append(seen)
+    out = []
+    for t in range(len(raw)):
+        score = net.p["wo"].astype(float) @ np.concatenate([states[0][t], states[1][t]]) + net.p["bo"][:, 0]
+        out.append(np.exp(score - score.max()) / np.exp(score - score.max()).sum())
+    return np.array(out)
+
+
+def test_forward_pass_equals_definition():
+    net = L.Network.fresh(["a", "b", "c"], seed=4)
+    texts = [b"", b"x", bytes(range(64)), "Straße é ".encode() * 30, b"y" * 65]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = net.text_probabilities(data, offsets)
+    assert not got[0].any()
+    for k, raw in enumerate(texts):
+        # a segment that is not full goes on with blanks, which are not pooled
+        parts = [one_byte_at_a_time(net, raw[a : a + L.SEGMENT].ljust(L.SEGMENT))[: len(raw) - a] for a in range(0, len(raw), L.SEGMENT)]
+        if parts:
+            assert np.allclose(got[k], np.concatenate(parts).mean(axis=0), atol=1e-4)
+
+
+def test_clashing_names_ties_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "ka lo", "aa", True, "t"), (None, "ka lo", "aa", False, "u"), (1, None, None, None, "v")], "doc_id long, text string, lang string, _letter boolean, _text string")
+    net = L.Network.fresh(["aa", "bb"], seed=1)
+    net.p["wo"][:] = 0  # both languages are as likely
+    rows = L.label(docs, net).collect()
+    assert [(r["doc_id"], r["_letter"], r["_text"], r["lang_pred"]) for r in rows] == [(1, True, "t", "aa"), (None, False, "u", "aa"), (1, None, "v", "und")]
+    assert L.fit(docs.where("doc_id IS NULL")).labels == []

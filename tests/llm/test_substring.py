@@ -75,3 +75,13 @@ def test_null_and_repeated_ids(spark):
 
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_names(spark):
+    rows = [(i, t, "mine", 1, 2.0, "k") for i, t in corpus(3)]
+    out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, spans string, _id int, _rk double, n_words string"))
+    assert out.columns == ["doc_id", "spans", "_id", "_rk", "n_words", "n_removed", "kept_text"]
+    plain = S.remove_repeats(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    own = ["doc_id", "n_words", "n_removed", "kept_text"]
+    assert sorted(map(str, out.select(*own).collect())) == sorted(map(str, plain.select(*own).collect()))
+    assert {(r["spans"], r["_id"], r["_rk"]) for r in out.collect()} == {("mine", 1, 2.0)}
