@@ -6,8 +6,9 @@ buckets that need fewer bits keep their smaller local depth. It sends entries
 to their buckets, and owner tasks take the buckets in key order, a range of keys
 each. There the entries of a key are chained: neighbours in the order of their
 texts are compared byte by byte, equal ones add up in one link, others open the
-next. Group sizes and the rows that stay are read back from the index by key,
-and by bytes where a chain has several links. Copies collapse before they are
+next. Every owner's buckets are a folder. Rows look their group up by going the
+same way: key, directory, bucket, and bytes where a chain has several links; a
+probe of few rows opens only the folders of their buckets' owners. Copies collapse before they are
 shuffled, so a text that a third of all rows share is a few entries.
 
 Only DataFrame operations are used.
@@ -15,6 +16,8 @@ Only DataFrame operations are used.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .shared import partitions, scratch, settled, veiled
@@ -88,8 +91,26 @@ def directory(found: DataFrame, capacity: int = BUCKET_ENTRIES, owners: int = 1)
     return loads.select("slot", "load", local.alias("local_depth"), bucket.alias("bucket")).withColumn("owner", owner), depth
 
 
-def build_index(docs: DataFrame, save, capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """The index on shared files: bucket, local_depth, key, chain (0 for the
+@dataclass
+class Index:
+    """``table`` on shared files, a folder per owner; ``slots`` (slot, bucket,
+    local_depth, owner) is the directory of 2 ** ``depth`` slots, of which those
+    that are in use are stored; ``small`` says that it may go to all tasks."""
+
+    table: DataFrame
+    slots: DataFrame
+    depth: int
+    small: bool
+
+    def located(self, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+        """``rows`` with ``columns`` of the directory for their keys; rows whose slot is empty are left out."""
+        at = rows.withColumn("slot", _slot(F.col(key), self.depth))
+        found = self.slots.select("slot", *columns)
+        return at.join(F.broadcast(found) if self.small else found, "slot").drop("slot")
+
+
+def build_index(docs: DataFrame, save, capacity: int = BUCKET_ENTRIES) -> Index:
+    """The index on shared files: owner, bucket, local_depth, key, chain (0 for the
     first text of a key, 1.. for others whose key collides), links (texts in the
     chain), text_sha256, group_size, keep_id, and norm where the chain has more
     than one link.
@@ -103,8 +124,9 @@ def build_index(docs: DataFrame, save, capacity: int = BUCKET_ENTRIES) -> DataFr
     found = save(entries(docs))
     slots, depth = directory(found, capacity, owners)
     slots = save(slots.drop("load"))
-    small = slots.count() <= BROADCAST_SLOTS  # else the entries go to the directory, which is dealt out by slot
-    owned = found.withColumn("slot", _slot(F.col("key"), depth)).join(F.broadcast(slots) if small else slots, "slot").drop("slot")
+    # a large directory is dealt out by slot, and entries go to it
+    index = Index(None, slots, depth, slots.count() <= BROADCAST_SLOTS)
+    owned = index.located(found, "key", ["bucket", "local_depth", "owner"])
     of_key, of_text = W.partitionBy("owner", "bucket", "key"), W.partitionBy("owner", "bucket", "key", "norm")
     chained = owned.repartitionById(owners, F.col("owner")).withColumns(
         {
@@ -115,28 +137,40 @@ def build_index(docs: DataFrame, save, capacity: int = BUCKET_ENTRIES) -> DataFr
         }
     )
     chained = chained.where("opens").withColumn("links", F.max("chain").over(of_key) + 1)
-    return save(
+    index.table = save(
         chained.select(
-            "bucket", "local_depth", "key", "chain", "links", F.sha2("norm", 256).alias("text_sha256"), "group_size", _preferred_id(F.col("best")).alias("keep_id"),
+            "owner", "bucket", "local_depth", "key", "chain", "links", F.sha2("norm", 256).alias("text_sha256"), "group_size", _preferred_id(F.col("best")).alias("keep_id"),
             F.when(F.col("links") > 1, F.col("norm")).alias("norm"),
-        )
+        ),
+        "owner",
     )
+    return index
 
 
-def look_up(docs: DataFrame, index: DataFrame, keep: list[str]) -> DataFrame:
+def look_up(docs: DataFrame, index: Index, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` with bucket, group_size, keep_id, text_sha256
-    of each row's link in ``index``. Where a key's chain has one link, its texts
-    were all equal, so the key leads to the answer; rows whose key has several
-    links are compared with these by their bytes."""
-    norm, found = normalised(F.col("text")), ["bucket", "group_size", "keep_id", "text_sha256"]
-    rows = docs.select(*keep, F.xxhash64(norm).alias("_key"))
-    single = index.where("links = 1").select(F.col("key").alias("_key"), *found)
-    out = rows.join(single, "_key").select(*keep, *found)
-    several = index.where("links > 1").select(F.col("key").alias("_key"), F.col("norm").alias("_norm"), *found)
+    of each row's link in ``index``, found by its key's bucket. Where a key's
+    chain has one link, its texts were all equal, so the key leads to the
+    answer; rows whose key has several links are compared with these by their
+    bytes."""
+    norm, found, at = normalised(F.col("text")), ["group_size", "keep_id", "text_sha256"], ["owner", "bucket", "_key"]
+    kept = [*keep, "bucket", *found]
+    rows = index.located(docs.select(*keep, F.xxhash64(norm).alias("_key")), "_key", ["owner", "bucket"])
+    table = index.table.withColumnRenamed("key", "_key")
+    out = rows.join(table.where("links = 1").select(*at, *found), at).select(*kept)
+    several = table.where("links > 1").select(*at, F.col("norm").alias("_norm"), *found)
     if several.isEmpty():
         return out
-    rows = docs.select(*keep, F.xxhash64(norm).alias("_key"), norm.alias("_norm"))
-    return out.unionByName(rows.join(several, ["_key", "_norm"]).select(*keep, *found))
+    rows = index.located(docs.select(*keep, F.xxhash64(norm).alias("_key"), norm.alias("_norm")), "_key", ["owner", "bucket"])
+    return out.unionByName(rows.join(several, [*at, "_norm"]).select(*kept))
+
+
+def probe(docs: DataFrame, index: Index, keep: list[str]) -> DataFrame:
+    """``look_up`` for few rows, whose texts need not be in the index: only the
+    folders that their keys lead to are opened."""
+    keyed = docs.select(F.xxhash64(normalised(F.col("text"))).alias("_key"))
+    owners = [r[0] for r in index.located(keyed, "_key", ["owner"]).select("owner").distinct().collect()]  # a folder's number each
+    return look_up(docs, Index(index.table.where(F.col("owner").isin(owners)), index.slots, index.depth, index.small), keep)
 
 
 def exact_groups(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:

@@ -42,14 +42,14 @@ def remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession):
     """Gives ``save(df)``: writes a compressed table into the shared folder and
-    reads it back. The tables are removed when the block ends, so results must
+    reads it back; ``save(df, "column")`` keeps a folder for each of its values. The tables are removed when the block ends, so results must
     be ``settled`` inside it."""
     paths: list[str] = []
 
-    def save(df: DataFrame) -> DataFrame:
+    def save(df: DataFrame, *by: str) -> DataFrame:
         path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         paths.append(path)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     try:

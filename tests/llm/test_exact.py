@@ -85,7 +85,7 @@ def test_colliding_keys_are_chained_and_compared(spark, monkeypatch):
 def test_index_is_in_key_order_and_bounded(spark, tmp_path):
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 2000) AS text")
     with exact.scratch(spark) as save:
-        index = exact.build_index(docs, save, 100).collect()
+        index = exact.build_index(docs, save, 100).table.collect()
     assert len(index) == 2000 and sum(r["group_size"] for r in index) == 3000
     load, ordered = {}, sorted(index, key=lambda r: r["key"] % 2**64)
     for r in index:
@@ -99,3 +99,17 @@ def test_clashing_names(spark):
     out = exact.exact_groups(spark.createDataFrame(rows, "doc_id long, text string, _key string, _norm int, bucket string"))
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["_key"], r["_norm"]) for r in out.collect()}
     assert got == {1: (1, 2, "mine", 1), 2: (1, 2, "mine", 1), 3: (3, 1, "mine", 1), 4: (4, 1, "mine", 1)}
+
+
+def test_a_probe_opens_the_folders_of_its_keys(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 2000) AS text")
+    asked = spark.createDataFrame([(1, "t e x t 5"), (2, "not there"), (3, "text1999")], "row int, text string")
+    with exact.scratch(spark) as save:
+        index = exact.build_index(docs, save, 100)
+        folders = index.table.select("owner").distinct().count()
+        got = sorted(tuple(r) for r in exact.probe(asked, index, ["row"]).select("row", "keep_id", "group_size").collect())
+        assert got == [(1, 5, 2), (3, 1999, 1)]
+        owners = [r[0] for r in index.located(asked.selectExpr("xxhash64(replace(text, ' ', '')) AS k"), "k", ["owner"]).select("owner").distinct().collect()]
+        opened = index.table.where(F.col("owner").isin(owners)).select("_metadata.file_path").distinct().count()
+        assert len(owners) <= 3 < folders and opened <= 3 < index.table.select("_metadata.file_path").distinct().count()
+        assert exact.probe(asked.where("row = 2"), index, ["row"]).count() == 0
