@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as S
 from .graph import components
+from .storage import settled
 
 
 def duplicate_candidates(files: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,6 +72,20 @@ def hamming_pairs(hashes: DataFrame, most: int = 10, radius: int = 2, bits: int
     return found.select("a", "b", S.hamming(F.col("ha"), F.col("hb")).alias("distance"))
 
 
+def hash_links(hashes: DataFrame, most: int = 10) -> DataFrame:
+    """``hamming_pairs`` between hashes instead of pictures: a and b (the smallest
+    ids that have them), distance, n_a and n_b (pictures that have them). A hash
+    that n pictures share stands for its n x n pairs in one row, with itself
+    at distance 0."""
+    good = hashes.where("hash IS NOT NULL AND hash <> 0")
+    nodes = settled(good.groupBy("hash").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    size = nodes.select("id", "n")
+    pairs = hamming_pairs(nodes.select("id", "hash"), most)
+    linked = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b").select("a", "b", "distance", "n_a", "n_b")
+    own = nodes.where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    return linked.unionByName(own)
+
+
 def candidates_by_size(files: DataFrame) -> DataFrame:
     """Candidates with known width and height by size and both, others by size
     alone; an id that both branches give counts once."""

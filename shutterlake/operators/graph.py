@@ -51,7 +51,7 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while not still.isEmpty():
         # An early end that is no late end of an open pair leads; its late ends follow.
         follow = settled(still.join(still.select(F.col("late").alias("early")), "early", "left_anti").select("late").distinct())
-        followers = follow if followers is None else followers.union(follow)
+        followers = follow if followers is None else settled(followers.union(follow))
         # Pairs of a follower bind no longer, on either side.
         still = settled(still.join(follow, "late", "left_anti").join(follow.select(F.col("late").alias("early")), "early", "left_anti"))
     if followers is None:

@@ -105,12 +105,13 @@ def people_page(people: DataFrame, mode: str, take: int) -> DataFrame:
     """The first ``take`` people by name (``alphabetical``), last appearance or
     else creation (``recent``) or number of faces (``faces``); ties by id."""
     order = {"alphabetical": F.col("name").asc(), "recent": F.coalesce("last_seen", "created").desc(), "faces": F.col("n").desc()}
-    return people.orderBy(order[mode], "person_id").limit(take).withColumn("_order", F.monotonically_increasing_id())
+    by = [order[mode], F.col("person_id").asc()]
+    return people.orderBy(*by).limit(take).withColumn("place", F.row_number().over(W.orderBy(*by)))  # a page is small
 
 
 def placed(page: DataFrame, *columns: str) -> DataFrame:
-    """A page's rows with their place from 1; a page is small."""
-    return page.select(*columns, F.row_number().over(W.orderBy("_order")).alias("place"))
+    """A page's ``columns`` with the place from 1."""
+    return page.select(*columns, "place")
 
 
 def ignored_path(path: Column) -> Column:

@@ -66,6 +66,19 @@ def similar_pairs(spark, sf_dir):
     return D.hamming_pairs(_hashes(spark, sf_dir), _MOST)
 
 
+#: Two of three pictures are taken for one of 25 others, so that hashes repeat.
+_SHARED = "CASE WHEN vec_id % 3 = 0 THEN vec_id ELSE vec_id % 25 END"
+
+
+@query(f"""WITH h AS (SELECT e.vec_id AS id, hash FROM embeddings e JOIN ({_HASH}) x ON x.id = {_SHARED.replace('vec_id', 'e.vec_id')} WHERE hash <> 0),
+    g AS (SELECT hash, min(id) AS id, count(*) AS n FROM h GROUP BY hash)
+    SELECT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance, a.n AS n_a, b.n AS n_b FROM g a JOIN g b ON a.id < b.id OR (a.id = b.id AND a.n > 1) WHERE bit_count(xor(a.hash, b.hash)) <= 18""")
+def similar_hash_links(spark, sf_dir):
+    """Similar pictures as links between hashes, whatever the number of pictures that share one."""
+    shared = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.expr(_SHARED).alias("_of"))
+    return D.hash_links(shared.join(_hashes(spark, sf_dir).toDF("_of", "hash"), "_of").select("id", "hash"), _MOST)
+
+
 @query(f"{_GROUPS} SELECT id, group_id FROM m")
 def similar_components(spark, sf_dir):
     return D.similar_groups(_hashes(spark, sf_dir), _MOST).select("id", "group_id")

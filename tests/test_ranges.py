@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.operators import angles as A, sessions as X, vectors as V
+from shutterlake.operators import angles as A, duplicates as D, sessions as X, vectors as V
 
 
 def photos(n=600, seed=3):
@@ -144,6 +144,15 @@ def test_copies_of_one_face_make_few_pairs(spark):
     assert {r["leader"] for r in A.leader_clusters(df, 0.6, block=512).select("leader").distinct().collect()} == {0}
 
 
+def test_a_hash_of_many_pictures_makes_one_row(spark):
+    rng = np.random.default_rng(6)
+    hashes = [int(h) for h in rng.integers(1, 2**62, 30)]
+    near = hashes[0] ^ 0b111
+    rows = [(k, hashes[0]) for k in range(3000)] + [(5000 + k, near) for k in range(40)] + [(6000 + k, h) for k, h in enumerate(hashes[1:])] + [(9000, 0), (9001, None)]
+    got = D.hash_links(spark.createDataFrame(rows, "id long, hash long"), 3).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 0, 3000, 3000), (0, 5000, 3, 3000, 40), (5000, 5000, 0, 40, 40)]
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], VECTORS)
     assert A.leader_clusters(df, 0.6).collect() == [] and V.similar_vectors(df, 0.6).collect() == []
