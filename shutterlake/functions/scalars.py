@@ -58,10 +58,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 def mean_hash(values: str) -> Column:
     """Bit i of the result is set iff value i is above the mean; up to 64 values."""
-    return F.expr(
-        f"aggregate(sequence(0, size({values}) - 1), 0L, (h, i) -> h | if(element_at({values}, i + 1) > "
-        f"aggregate({values}, 0D, (s, v) -> s + v, s -> s / size({values})), shiftleft(1L, i), 0L))"
-    )
+    mean = f"aggregate({values}, 0D, (s, v) -> s + v, s -> s / size({values}))"  # once, not for every bit
+    bits = f"aggregate(sequence(0, size({values}) - 1), 0L, (h, i) -> h | if(element_at({values}, i + 1) > m, shiftleft(1L, i), 0L))"
+    return F.expr(f"transform(array({mean}), m -> {bits})[0]")
 
 
 def dot(a: Column, b: Column) -> Column:

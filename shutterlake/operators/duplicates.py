@@ -99,8 +99,8 @@ def similar_groups(hashes: DataFrame, most: int = 10) -> DataFrame:
 
     Equal hashes are one node, so that a hash that many pictures share costs no pairs among them.
     """
-    good = hashes.where("hash IS NOT NULL AND hash <> 0").select("id", "hash")
-    nodes = good.groupBy("hash").agg(F.min("id").alias("id"))
+    good = settled(hashes.where("hash IS NOT NULL AND hash <> 0").select("id", "hash"))
+    nodes = settled(good.groupBy("hash").agg(F.min("id").alias("id")))
     linked = components(nodes, hamming_pairs(nodes, most).select("a", "b"))
     by_hash = nodes.join(linked, "id").select("hash", F.col("component").alias("group_id"))
     out = good.join(by_hash, "hash").select("id", "hash", "group_id")

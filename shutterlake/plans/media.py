@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import bitmaps as B, pages as P, resize as Z, search as X, tables as T
 from ..operators.storage import remove, settled, shared_folder
-from ..sources import headers as H
+from ..sources import files as M, headers as H
 from ..sources.views import read, view
 from .registry import query
 
@@ -89,6 +89,28 @@ def _stored(spark, run):
         remove(spark, at)
 
 
+def _media_files(spark, sf_dir, at):
+    """A file for each folder and extension, with a byte for each photo, and one in each folder that is no picture."""
+    photos = view(spark, sf_dir, "photos_v").groupBy("folder_path", "ext").agg(F.count("*").alias("n"))
+    name = F.when(F.col("ext") == ".png", ".PNG").otherwise(F.col("ext"))
+    bundles = photos.select(F.concat("folder_path", F.lit("/all/bundle"), name).alias("path"), F.expr("CAST(repeat('x', CAST(n AS INT)) AS BINARY)").alias("content"))
+    notes = photos.select(F.concat("folder_path", F.lit("/notes.txt")).alias("path"), F.lit(b"note").alias("content")).distinct()
+    M.write_files(bundles.unionByName(notes), at)
+    return M.files_under(spark, at)
+
+
+@query("SELECT folder_path AS folder, 'bundle' || CASE ext WHEN '.png' THEN '.PNG' ELSE ext END AS file_name, ext AS extension, count(*) AS file_size FROM photos_v GROUP BY folder_path, ext")
+def media_files_scanned(spark, sf_dir):
+    """Media files below a folder, whatever the case of their extension."""
+    folder = F.regexp_extract("file_path", "(/lib/[^/]+)/all/[^/]+$", 1)
+    return _stored(spark, lambda at: _media_files(spark, sf_dir, at).select(folder.alias("folder"), "file_name", "extension", "file_size"))
+
+
+@query("SELECT ext AS extension, count(DISTINCT folder_path) AS n_files, count(*) AS total_size FROM photos_v GROUP BY 1")
+def media_storage_totals(spark, sf_dir):
+    return _stored(spark, lambda at: M.storage_totals(_media_files(spark, sf_dir, at)))
+
+
 _PAGE = 75
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
@@ -23,6 +24,29 @@ def files_under(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     return named.where(F.col("extension").isin(*extensions))
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes each of ``rows`` (path below ``folder``, content: bytes) as a file of its own
+    and gives their number. A path belongs to one row; a task that runs again
+    writes the same files again. ``folder`` is one that all executors share."""
+    root = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(root)
+        n = 0
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                name = f"{at}/{path.lstrip('/')}"
+                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(name) as out:
+                    out.write(content.as_buffer())
+                n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+    return rows.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def storage_totals(files: DataFrame) -> DataFrame:
     """Number and bytes of files per extension."""
     return files.groupBy("extension").agg(F.count("*").alias("n_files"), F.sum("file_size").alias("total_size"))
