@@ -4,6 +4,10 @@ The distinct items of a group in one period are a few bitmaps, one for each
 range of 32,768 numbers. Bitmaps of several periods join to those of any longer
 one, so months, years and totals come from one stored table without reading the
 rows again. Items are whole numbers; dense ones need little space.
+
+A bitmap takes 4 KB however few numbers it holds. Where a group has few in each
+range, as a person has photos in a month, words of 64 numbers take their place:
+a long each, at most one per item.
 """
 
 from __future__ import annotations
@@ -27,6 +31,35 @@ def distinct_items(bitmaps: DataFrame, keys: list[str], name: str) -> DataFrame:
     return bitmaps.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias(name))
 
 
+#: Numbers that ``part`` of ``item_words`` keeps together, as a power of two.
+PART = 22
+ROWS = 250_000
+
+
+def item_words(rows: DataFrame, group: str, period: Column, item: str) -> DataFrame:
+    """``group``, part, period, word and bits: the distinct ``item`` numbers of
+    each group and period. Null items count for nothing, but their group stays.
+
+    Rows are shuffled once, by group and part (a range of 4,194,304 numbers);
+    words of longer periods and counts come from where they then lie. A task
+    gets about ``ROWS`` of them, however many there are.
+    """
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS))
+    part, word, bit = F.shiftright(item, PART), F.shiftright(item, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.col(item).bitwiseAND(63).cast("int"))
+    dealt = rows.select(group, period.alias("period"), part.alias("part"), F.col(item).cast("long").alias(item)).repartition(tasks, group, "part")
+    return dealt.groupBy(group, "part", "period", word.alias("word")).agg(F.bit_or(F.coalesce(bit, F.lit(0).cast("long"))).alias("bits"))
+
+
+def joined_words(words: DataFrame, group: str, period: Column) -> DataFrame:
+    """Words of longer periods."""
+    return words.groupBy(group, "part", period.alias("period"), "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def counted_words(words: DataFrame, group: str, name: str) -> DataFrame:
+    """Per ``group`` and period the number of distinct items."""
+    return words.groupBy(group, "period").agg(F.sum(F.bit_count("bits")).alias(name))
+
+
 def items(bitmaps: DataFrame, keys: list[str], name: str) -> DataFrame:
     """The numbers in each bitmap, a row each."""
     digits = F.hex("bits")
