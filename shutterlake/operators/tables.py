@@ -133,15 +133,20 @@ def search(rows: DataFrame, column: str, text: str | None) -> DataFrame:
 def watched_root(files: DataFrame, roots: DataFrame) -> DataFrame:
     """``files`` with the longest of ``roots`` (column ``root``) that their path starts with, whatever the case.
 
-    A path meets its own prefixes at each separator by an equality join, so
-    any number of roots will do.
+    Each folder meets its own prefixes at each separator by an equality join,
+    so any number of roots will do, and each file joins its folder; a root that
+    is the file's whole path is the longest there can be. Files are neither
+    multiplied nor grouped.
     """
-    parts = F.split(F.lower("file_path"), "/")
+    named = roots.groupBy(F.lower("root").alias("_root")).agg(F.max("root").alias("root"))
+    parts = F.split("_folder", "/")
     prefix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    keyed = files.select("file_path", F.explode(prefix).alias("_root")).distinct()
-    named = roots.select(F.lower("root").alias("_root"), "root")
-    best = keyed.join(named, "_root").groupBy("file_path").agg(F.max_by("root", F.struct(F.length("_root"), "root")).alias("root"))
-    return files.join(best, "file_path", "left")
+    path = F.lower("file_path")
+    placed = files.withColumns({"_path": path, "_folder": F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"(?s)^(.*)/", 1))})
+    keyed = placed.where("_folder IS NOT NULL").select("_folder").distinct().select("_folder", F.explode(prefix).alias("_root"))
+    best = keyed.join(named, "_root").groupBy("_folder").agg(F.max_by("root", F.length("_root")).alias("_inside"))
+    out = placed.join(best, "_folder", "left").join(named.toDF("_path", "_itself"), "_path", "left")
+    return out.withColumn("root", F.coalesce("_itself", "_inside")).select("file_path", *[c for c in files.columns if c != "file_path"], "root")
 
 
 def file_diff(known: DataFrame, seen: DataFrame) -> DataFrame:
