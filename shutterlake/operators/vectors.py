@@ -38,7 +38,7 @@ def nearest(vectors: DataFrame, targets: DataFrame, threshold: float, strict: bo
     return out.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 
-def similar_vectors(vectors: DataFrame, threshold: float, key: str = "id", block: int = angles.BLOCK) -> DataFrame:
+def similar_vectors(vectors: DataFrame, threshold: float, key: str = "id", block: int | None = None) -> DataFrame:
     """``(a, b, similarity)`` for all pairs a < b with a cosine of at least ``threshold``.
 
     Vectors are dealt into blocks; each pair of blocks that the angle between
