@@ -127,9 +127,13 @@ def similar_metrics(best: DataFrame) -> DataFrame:
 
 
 def group_numbers(groups: DataFrame, *by: Column | str) -> DataFrame:
-    """Numbers from 1 in order of ``by`` (default group_id): offsets of range-partitioned parts, no single task."""
+    """Numbers from 1 in order of ``by`` (default group_id): offsets of range-partitioned parts, no single task.
+
+    The parts are stored once: dealt out again, for their sizes, from fewer
+    columns, rows may fall into other parts than those which are numbered.
+    """
     by = by or ("group_id",)
-    parts = groups.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    parts = settled(groups.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy("_part").count()
     before = sizes.withColumn("_before", F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     place = F.row_number().over(W.partitionBy("_part").orderBy(*by))
