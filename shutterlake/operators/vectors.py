@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scalars as S
 from . import angles
 from .duplicates import group_numbers
+from .storage import settled
 
 
 def centroids(vectors: DataFrame, by: str = "person_id", vector: str = "embedding") -> DataFrame:
@@ -18,23 +19,25 @@ def centroids(vectors: DataFrame, by: str = "person_id", vector: str = "embeddin
     return whole.select(by, S.l2_normalised(F.col("mean")).alias("centroid"))
 
 
-def nearest(vectors: DataFrame, targets: DataFrame, threshold: float, strict: bool = False, key: str = "face_id", block: int = 256) -> DataFrame:
+def nearest(vectors: DataFrame, targets: DataFrame, threshold: float, strict: bool = False, key: str = "face_id", block: int | None = None) -> DataFrame:
     """``(key, target_id, similarity)`` of the most similar target; vectors with
     none above the threshold are left out. Ties go to the smallest target.
 
-    Targets (``target_id``, ``vector``) come in rows of about ``block``, as many
-    rows as their number asks for. Vectors and rows meet by block and salt, so
-    no key holds more than a share of the vectors; a vector keeps one best
-    target per block, so no row per pair is made.
+    Vectors and targets (``target_id``, ``vector``) are dealt into blocks of
+    about ``block`` rows; without it, of a share of each between bounds. Each
+    pair of blocks is one matrix product, so no row per pair is made; a vector
+    goes to every block of targets and keeps one best target of each.
     """
-    spark = vectors.sparkSession
-    blocks, salts = max(1, -(-targets.count() // block)), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    row = targets.groupBy(F.pmod(F.xxhash64("target_id"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("target_id", "vector")).alias("_targets"))
-    rows = row.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = vectors.where("embedding IS NOT NULL").select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
-    scored = F.transform("_targets", lambda t: F.struct(S.cosine(F.col("embedding"), t["vector"]).alias("s"), (-t["target_id"]).alias("k")))
-    best = spread.join(rows, ["_block", "_salt"]).select(key, F.array_max(scored).alias("_best"))
-    out = best.groupBy(key).agg(F.max("_best").alias("_best")).select(key, (-F.col("_best.k")).alias("target_id"), F.col("_best.s").alias("similarity"))
+    parts = lambda rows: max(1, -(-(n := rows.count()) // (block or angles.share(n))))
+    lefts, rights = parts(vectors), parts(targets)
+    dealt = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.where("embedding IS NOT NULL").select(key, "embedding", dealt(key, lefts).alias("_i"), every(rights).alias("_j"))
+    right = targets.select("target_id", "vector", dealt("target_id", rights).alias("_j"), every(lefts).alias("_i"))
+    kind = f"{key} {vectors.schema[key].dataType.simpleString()}, target_id {targets.schema['target_id'].dataType.simpleString()}, similarity double"
+    best = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(angles.best_of(key, threshold), kind)
+    top = F.max(F.struct("similarity", (-F.col("target_id")).alias("_k"))).alias("_best")
+    out = best.groupBy(key).agg(top).select(key, (-F.col("_best._k")).alias("target_id"), F.col("_best.similarity").alias("similarity"))
     return out.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 
@@ -64,7 +67,7 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
 def assign_or_cluster(vectors: DataFrame, targets: DataFrame, threshold: float, key: str = "face_id") -> DataFrame:
     """``(key, person_id, is_new)``: the nearest person strictly above the
     threshold, else a new person per leader cluster, numbered after the last."""
-    old = nearest(vectors, targets, threshold, strict=True, key=key).select(key, F.col("target_id").alias("person_id"), F.lit(False).alias("is_new"))
+    old = settled(nearest(vectors, targets, threshold, strict=True, key=key).select(key, F.col("target_id").alias("person_id"), F.lit(False).alias("is_new")))
     rest = vectors.join(old, key, "left_anti")
     groups = leader_clusters(rest, threshold, key)
     numbers = group_numbers(groups.select("leader").distinct(), "leader").select("leader", F.col("group_no").alias("_n"))
